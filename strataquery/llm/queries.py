@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from strataquery.llm import distinctive, topn
+from strataquery.llm import distinctive, encode, leak, residue, topn
 
 QUERIES = {
     "p1_found": distinctive.p1_found,
     "p1_elite": distinctive.p1_elite,
     "p3_found": topn.p3_found,
+    "p6_ids": encode.p6_ids,
+    "p6_lengths": encode.p6_lengths,
+    "p7_found": leak.p7_found,
+    "p8_found": residue.p8_found,
 }
 
 SQL = {
