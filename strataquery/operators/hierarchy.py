@@ -41,8 +41,9 @@ def bare_name(parent: Column) -> Column:
     text = parent
     for _ in range(8):
         text = F.regexp_replace(text, "<[^<>]*>", "")
-    text = F.regexp_replace(text, "<.*$", "")
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, r"^.*(\.|::)", ""), r"^\s+|\s+$", "")), F.lit(""))
+    text = F.when(F.contains(parent, F.lit("<")), F.substring_index(text, "<", 1)).otherwise(parent)  # few rows need a pattern
+    text = F.substring_index(F.substring_index(text, "::", -1), ".", -1)
+    return F.nullif(F.btrim(text, F.lit(" \t\r\n\f\v\u00a0")), F.lit(""))
 
 
 def _holders(file: np.ndarray, name: pa.Array, ids: np.ndarray, parent: pa.Array) -> tuple[np.ndarray, np.ndarray]:
