@@ -14,13 +14,14 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.plans.skew import maybe_broadcast
 from strataquery.session import scratch
 
 #: Children of a node are 2**FAN; leaves are sized for about LEAF_ROWS records of the first run.
-FAN, LEAF_ROWS, MAX_BITS = 4, 64, 24
+FAN, LEAF_ROWS, MAX_BITS = 6, 64, 24
 #: Versions whose records are read side by side before they are folded into one.
 FOLD_AFTER = 16
+CHANGES = "node long, key string, digest string, was string, version int"
+TREE = "level int, node long, d1 long, d2 long"
 
 
 def clean_path(path: Column) -> Column:
@@ -37,6 +38,9 @@ class IncrementalStore:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
     def manifest(self) -> dict | None:
         """The latest published version, or None."""
         at = self._path(f"{self.folder}/manifests")
@@ -81,14 +85,14 @@ class IncrementalStore:
             new = current.where(F.col("level") == level).select("node", "d1", "d2")
             if at is not None:
                 at = at.select(F.col("node").alias("above"))
-                old, new = (x.join(maybe_broadcast(at), F.shiftright("node", FAN) == F.col("above"), "left_semi") for x in (old, new))
+                old, new = (x.join(at, F.shiftright("node", FAN) == F.col("above"), "left_semi") for x in (old, new))
             differ = ~(F.col("d1").eqNullSafe(F.col("o1")) & F.col("d2").eqNullSafe(F.col("o2")))
             at = new.join(old, "node", "left").where(differ).select("node")
         return at
 
     def _records(self, manifest: dict) -> DataFrame:
         """All records of the published versions, (node, key, digest, version); later versions win."""
-        return self.spark.read.parquet(*[f"{self.folder}/{d}/changes" for d in manifest["parts"]]).select("node", "key", "digest", "version")
+        return self.spark.read.schema(CHANGES).parquet(*[f"{self.folder}/{d}/changes" for d in manifest["parts"]]).select("node", "key", "digest", "version")
 
     def process(self, run: int, records: DataFrame) -> DataFrame:
         """Publishes what is new or changed in records (key, digest; one row per key) since the last version.
@@ -111,8 +115,8 @@ class IncrementalStore:
         hashes = (F.xxhash64("key", "digest"), F.xxhash64("digest", F.lit(0), "key"))
         if saved:
             leaves = rows.groupBy("node").agg(F.bit_xor(hashes[0]).alias("d1"), F.bit_xor(hashes[1]).alias("d2"))
-            old_tree = self.spark.read.parquet(f"{self.folder}/{saved['tree']}")
-            changed = maybe_broadcast(self._changed_leaves(self._tree(leaves, bits), old_tree, bits))
+            old_tree = self.spark.read.schema(TREE).parquet(f"{self.folder}/{saved['tree']}")
+            changed = self._changed_leaves(self._tree(leaves, bits), old_tree, bits)
             before = (
                 self._records(saved).join(changed, "node", "left_semi").groupBy("key").agg(F.max(F.struct("version", "digest")).alias("last")).select("key", F.col("last.digest").alias("was"))
             )
@@ -121,7 +125,7 @@ class IncrementalStore:
             changes = rows.withColumn("was", F.lit(None).cast("string"))
         folder = scratch(self.spark, "v").rsplit("/", 1)[1]
         changes.select("node", "key", "digest", "was", F.lit(version).alias("version")).write.parquet(f"{self.folder}/{folder}/changes")
-        changes = self.spark.read.parquet(f"{self.folder}/{folder}/changes")
+        changes = self.spark.read.schema(CHANGES).parquet(f"{self.folder}/{folder}/changes")
         was = (F.xxhash64("key", "was"), F.xxhash64("was", F.lit(0), "key"))
         gain = [F.bit_xor(h.bitwiseXOR(F.when(F.col("was").isNull(), F.lit(0)).otherwise(w))).alias(n) for h, w, n in zip(hashes, was, ("g1", "g2"), strict=True)]
         gains = changes.groupBy("node").agg(*gain)
@@ -142,7 +146,7 @@ class IncrementalStore:
     def _fold(self, parts: list[str]) -> str:
         folder = scratch(self.spark, "fold").rsplit("/", 1)[1]
         rows = self._records({"parts": parts}).groupBy("node", "key").agg(F.max(F.struct("version", "digest")).alias("last"))
-        rows.select("node", "key", "last.digest", "last.version").write.parquet(f"{self.folder}/{folder}/changes")
+        rows.select("node", "key", "last.digest", F.lit(None).cast("string").alias("was"), "last.version").write.parquet(f"{self.folder}/{folder}/changes")
         return folder
 
     def output(self, *runs: int) -> DataFrame:
@@ -151,7 +155,7 @@ class IncrementalStore:
         published = manifest["runs"] if manifest else {}
         out = None
         for run in runs or [int(r) for r in published]:
-            rows = self.spark.read.parquet(f"{self.folder}/{published[str(run)]}/changes").select(F.lit(run).cast("long").alias("run"), "key", "digest")
+            rows = self.spark.read.schema(CHANGES).parquet(f"{self.folder}/{published[str(run)]}/changes").select(F.lit(run).cast("long").alias("run"), "key", "digest")
             out = rows if out is None else out.union(rows)
         return out if out is not None else self.spark.createDataFrame([], "run long, key string, digest string")
 
@@ -178,7 +182,8 @@ def changed_inputs(fingerprints: DataFrame, index_runs: DataFrame, folder: str |
     ok = sorted({r.run_id for r in index_runs.where("status = 'ok' and run_id is not null").select("run_id").distinct().collect()})
     states = f"{store.folder}/states-{scratch(spark, 's').rsplit('-', 1)[1]}"
     run_states(fingerprints, ok).write.partitionBy("run_id").parquet(states)
-    schema = "key string, digest string, run_id long"
+    records = spark.read.schema("key string, digest string")
     for run in ok:
-        store.process(run, spark.read.schema(schema).parquet(states).where(F.col("run_id") == run))
+        seen = store.exists(f"{states}/run_id={run}")
+        store.process(run, records.parquet(f"{states}/run_id={run}") if seen else spark.createDataFrame([], "key string, digest string"))
     return store.output(*ok).select(F.col("run").alias("run_id"), F.col("key").alias("path"))
