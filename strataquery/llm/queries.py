@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strataquery.llm import distinctive, encode, leak, residue, topn
+from strataquery.llm import distinctive, encode, leak, names, residue, topn
 
 QUERIES = {
     "p1_found": distinctive.p1_found,
     "p1_elite": distinctive.p1_elite,
+    "p2_found": names.p2_found,
+    "p2_entities": names.p2_entities,
     "p3_found": topn.p3_found,
     "p6_ids": encode.p6_ids,
     "p6_lengths": encode.p6_lengths,
