@@ -5,8 +5,8 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and SQL.
-MODULES = ("strataquery.plans.general",)
-FLAGSHIP = "p5_found"
+MODULES = ("strataquery.plans.general", "strataquery.plans.content")
+FLAGSHIP = "tfidf_multi_or"
 
 
 def _merged(attribute: str) -> dict:
