@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and SQL.
-MODULES = ("strataquery.plans.general", "strataquery.plans.content")
+MODULES = ("strataquery.plans.general", "strataquery.plans.content", "strataquery.plans.symbol")
 FLAGSHIP = "tfidf_multi_or"
 
 
