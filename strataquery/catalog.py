@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and SQL.
-MODULES = ("strataquery.plans.general", "strataquery.plans.content", "strataquery.plans.symbol", "strataquery.plans.other")
+MODULES = tuple(f"strataquery.plans.{m}" for m in ("general", "content", "symbol", "calls", "other"))
 FLAGSHIP = "tfidf_multi_or"
 
 

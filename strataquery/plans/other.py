@@ -288,8 +288,8 @@ SQL = {
     "replace_nth": f"""{_EDIT}, p AS (SELECT *, string_split(text, 'return') AS s FROM d) SELECT file_id, md5(CASE WHEN len(s) > 2 THEN concat(array_to_string(s[:2], 'return'), 'yield', array_to_string(s[3:], 'return')) ELSE text END) AS second,
         md5(replace(text, 'the', 'THE')) AS every, len(s) - 1 AS n FROM p""",
     "regex_replace": f"{_EDIT} SELECT file_id, md5(regexp_replace(text, '([a-z]+)Async\\(', '\\1(', 'g')) AS digest, len(regexp_extract_all(text, '[a-z]+Async\\(')) AS n FROM d",
-    "insert_anchor": f"""{_EDIT}, k AS (SELECT file_id, text, instr(text, 'using System;') AS at FROM d WHERE NOT contains(text, chr(13))), e AS (SELECT *, CASE WHEN at > 0 AND instr(text[at:], chr(10)) > 0 THEN at + instr(text[at:], chr(10)) - 1 ELSE 0 END AS stop FROM k)
-        SELECT file_id, md5(CASE WHEN at = 0 THEN text WHEN stop = 0 THEN concat(text, chr(10), 'using Extra;') ELSE concat(text[:stop], 'using Extra;', chr(10), text[stop + 1:]) END) AS digest FROM e""",
+    "insert_anchor": f"""{_EDIT}, k AS (SELECT file_id, text, instr(text, 'using System;') AS pos FROM d WHERE NOT contains(text, chr(13))), e AS (SELECT *, CASE WHEN pos > 0 AND instr(text[pos:], chr(10)) > 0 THEN pos + instr(text[pos:], chr(10)) - 1 ELSE 0 END AS stop FROM k)
+        SELECT file_id, md5(CASE WHEN pos = 0 THEN text WHEN stop = 0 THEN concat(text, chr(10), 'using Extra;') ELSE concat(text[:stop], 'using Extra;', chr(10), text[stop + 1:]) END) AS digest FROM e""",
     "sql_stats": f"{_DOCS} SELECT file_id, len(list_filter(parts, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '--')))::INT AS cyclomatic FROM cut JOIN docs USING (file_id) WHERE {_EXT} = 'sql'",
     "sql_ddl_symbols": f"""{_SQLDOCS}, m AS (SELECT file_id, line_no, regexp_extract(line, '^\\s*CREATE\\s+(?:OR\\s+ALTER\\s+)?(TABLE|PROCEDURE|VIEW)\\s+\\[(\\w+)\\]\\.\\[(\\w+)\\]', ['k', 's', 'n']) AS g FROM s)
         SELECT file_id, CASE g.k WHEN 'TABLE' THEN 'table' WHEN 'VIEW' THEN 'view' ELSE 'storedProcedure' END AS kind, g.s AS schema, g.n AS name, line_no::INT AS line FROM m WHERE g.k <> ''""",
