@@ -32,7 +32,7 @@ def thresholds(rows: DataFrame, group: str, score: str, n: int) -> DataFrame:
     large = sizes.where(F.col("size") * GROUPS >= sizes.agg(F.sum("size")).scalar()).select(group)
     down = Window.partitionBy(group).orderBy(F.col("bucket").desc_nulls_last())
     reached = histogram.join(F.broadcast(large), group, "left_semi").withColumn("above", F.sum("items").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return reached.where(F.col("above") >= n).groupBy(group).agg(F.max("bucket").alias("floor"))
+    return reached.where(F.col("above") >= n).groupBy(group).agg(F.max("bucket").alias("__floor"))
 
 
 def top_n(rows: DataFrame, group: str, score: str, ties: list[Column], n: int) -> DataFrame:
@@ -43,7 +43,7 @@ def top_n(rows: DataFrame, group: str, score: str, ties: list[Column], n: int) -
     """
     rows = rows.where(F.col(group).isNotNull())
     floors = F.broadcast(thresholds(rows, group, score, n))  # at most GROUPS rows
-    kept = rows.join(floors, group, "left").where(F.col("floor").isNull() | (score_bucket(F.col(score)) >= F.col("floor"))).drop("floor")
+    kept = rows.join(floors, group, "left").where(F.col("__floor").isNull() | (score_bucket(F.col(score)) >= F.col("__floor"))).drop("__floor")
     value = F.when(F.isnan(F.col(score).cast("double")), None).otherwise(F.col(score))
     order = Window.partitionBy(group).orderBy(value.desc_nulls_last(), *ties)
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
