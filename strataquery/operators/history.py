@@ -32,7 +32,7 @@ def read_log(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.element_at(parts, 4).alias("name"),
         F.array_join(F.slice(parts, 5, F.size(parts)), SEPARATOR).alias("subject"),
     )
-    paths = filled.where(~is_head & (F.col("of") != "") & (F.trim("record") != "")).select(clean(F.trim("record")).alias("path"), F.col("of").alias("hash"))
+    paths = filled.where(~is_head & (F.col("of") != "") & (F.btrim("record", F.lit(" \r\n")) != "")).select(clean(F.btrim("record", F.lit(" \r\n"))).alias("path"), F.col("of").alias("hash"))
     return commits, paths.distinct()
 
 
