@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from strataquery.functions import text as X
 from strataquery.operators import index as I
 from strataquery.operators import search as S
-from strataquery.sources.tables import table
+from strataquery.sources.tables import spread, table
 
 # ---- inputs -------------------------------------------------------------------------------------
 
 
 def _documents(spark, folder):
-    return table(spark, folder, "documents", F.col("doc_id").alias("file_id"), "text", F.coalesce("path", F.concat(F.lit("none/"), "doc_id")).alias("path"))
+    return spread(table(spark, folder, "documents", F.col("doc_id").alias("file_id"), "text", F.coalesce("path", F.concat(F.lit("none/"), "doc_id")).alias("path")))
 
 
 def _index(spark, folder):

@@ -9,3 +9,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Columns of one Parquet table; only those are read."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out over them; any larger scan as it is.
+
+    For work that costs far more per row than moving the row: a small file is one split, hence one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
