@@ -246,9 +246,9 @@ def encoded_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: s
 
 
 def p6_ids(spark, folder):
-    from strataquery.sources.tables import table
+    from strataquery.sources.tables import spread, table
 
-    return encoded_corpus(table(spark, folder, "documents", "doc_id", "text"))
+    return encoded_corpus(spread(table(spark, folder, "documents", "doc_id", "text")))
 
 
 def p6_lengths(spark, folder):

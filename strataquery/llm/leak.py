@@ -169,6 +169,6 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def p7_found(spark, folder):
-    from strataquery.sources.tables import table
+    from strataquery.sources.tables import spread, table
 
-    return leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+    return leaks(spread(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
