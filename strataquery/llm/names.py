@@ -4,8 +4,8 @@ Each row is read for spellings: of the typed name, and of the mailbox where it i
 an equal spelling or personal mailbox belong together at once. Different spellings are compared only
 within blocks of equal phonetic codes of their sorted tokens (the code of one side whole, of the other
 its head or its tail, so that one typing error leaves a block in common), by Jaro-Winkler and a table of
-nicknames, and linked unless both are confirmed by mailboxes of their own. Accepted links are clustered
-by connected components.
+nicknames, and linked if one typing error leads from one to the other, unless mailboxes of their own
+confirm both. Accepted links are clustered by connected components.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from strataquery.operators.components import components
 from strataquery.plans.skew import salted_join
 from strataquery.session import stored
 
-#: Least similarity of words, and of words under SHORT letters; spellings of one block compared as they are.
-LIKE, SHORT_LIKE, SHORT, BLOCK = 0.9, 0.86, 9, 200
+#: Least similarity of a word to what a login shows, and of words of up to SHORT letters; spellings of one block compared as they are.
+LIKE, SHORT, BLOCK = 0.86, 4, 200
 
 #: Nicknames by first name (fixed values).
 NICKNAMES = {
@@ -206,7 +206,7 @@ class Reading:
                     else:
                         continue
                     like = _near(shown, b) or jaro_winkler(shown, b)
-                    if len(shown) > 4 and like >= SHORT_LIKE and (best is None or (like, -abs(len(shown) - len(b))) > best[0]):
+                    if len(shown) > 4 and like >= LIKE and (best is None or (like, -abs(len(shown) - len(b))) > best[0]):
                         best = ((like, -abs(len(shown) - len(b))), first, shown)
         if best:
             self._spell([best[1], best[2]], compact)
@@ -237,7 +237,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def blocks(a: str, b: str) -> list[str]:
     """Blocks of a spelling by the phonetic codes of its sorted tokens."""
     p, q = phonetic(a), phonetic(b)
-    return sorted({f"{p}|{q[:6]}<", f"{p}|>{q[-6:]}", f"{q}|{p[:6]}<", f"{q}|>{p[-6:]}"}) if a else [f"|{q[:6]}<", f"|>{q[-6:]}"]
+    return sorted({f"{p}|{q[:6]}<", f"{p}|>{q[-6:]}", f"{q}|{p[:6]}<", f"{q}|>{p[-6:]}"}) if a else [f"|{q[:7]}<", f"|>{q[-8:]}"]
 
 
 def one_error(x: str, y: str) -> bool:
@@ -253,11 +253,11 @@ def one_error(x: str, y: str) -> bool:
 
 
 def _near(x: str, y: str) -> float:
-    """Similarity of words that can be one mistyped, else 0. Jaro-Winkler alone misjudges errors near the start of a word."""
+    """Jaro-Winkler similarity of words one typing error apart, else 0; short words must be alike besides."""
+    if not one_error(x, y):
+        return 0.0
     like = jaro_winkler(x, y)
-    if like < LIKE and min(len(x), len(y)) > 3 and one_error(x, y):
-        return LIKE
-    return like if like >= (LIKE if max(len(x), len(y)) >= SHORT else SHORT_LIKE) else 0.0
+    return like if min(len(x), len(y)) > SHORT or like >= LIKE else 0.0
 
 
 def alike(one: tuple, two: tuple) -> tuple[float, bool, bool]:
@@ -294,8 +294,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close_spellings(spellings: DataFrame) -> DataFrame:
     """(k1, k2) of different spellings that mean the same; each unsure spelling is linked to the most alike.
 
-    Blocks above BLOCK spellings are cut further by every spelling with one letter left out, which
-    still brings together all pairs one typing error apart.
+    Blocks above BLOCK spellings are cut further by every spelling with one letter left out. As links need
+    spellings one typing error apart, none is lost by that, whatever the size of a block.
     """
     keyed = spellings.select("a", "b", "sa", "sb", F.explode(_block_udf("a", "b")).alias("block"))
     sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -316,8 +316,10 @@ def _block_udf(a, b):
 
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def _finer_udf(block, a, b):
-    whole = f"{a}|{b}"
-    return sorted({f"{block}#{whole[:i]}{whole[i + 1 :]}" for i in range(len(whole))} | {f"{block}#{whole}"})
+    out = set()
+    for whole in (f"{a}|{b}", f"{b}|{a}"):  # an error may change the order of the words
+        out |= {f"{block}#{whole}", *(f"{block}#{whole[:i]}{whole[i + 1 :]}" for i in range(len(whole)))}
+    return sorted(out)
 
 
 def linked(authors: DataFrame) -> DataFrame:
