@@ -322,22 +322,57 @@ def code_symbols(text: str, language: str) -> list[tuple]:
     return out
 
 
+_TYPED = {
+    "cs": re.compile(rf"\b(?P<type>[A-Z]\w*(?:<[^;{{}}()=]*>)?)\??\s+(?P<name>[a-z_]\w*)\s*(?=[;,)=])|\b(?:var|{_TYPE})\s+(?P<local>\w+)\s*=\s*(?:await\s+)?(?:new\s+(?P<made>[A-Z]\w*)|\(\s*(?P<cast>[A-Z]\w*)\s*\)|[^;\n]*?\bas\s+(?P<as>[A-Z]\w*))|\bis\s+(?P<is>[A-Z]\w*)\s+(?P<pattern>[a-z_]\w*)"),
+    "ts": re.compile(r"\b(?P<name>\w+)\s*\??:\s*(?P<type>[A-Z]\w*)|\b(?:const|let|var)\s+(?P<local>\w+)\s*=\s*(?:await\s+)?(?:new\s+(?P<made>[A-Z]\w*)|[^;\n]*?\bas\s+(?P<as>[A-Z]\w*))"),
+    "rs": re.compile(r"\b(?P<name>[a-z_]\w*)\s*:\s*&?(?:mut\s+)?(?P<type>[A-Z]\w*)|\blet\s+(?:mut\s+)?(?P<local>\w+)\s*=\s*(?P<made>[A-Z]\w*)(?:::|\s*\{)"),
+}
+
+
+def declared_types(code: str, language: str) -> dict[str, str]:
+    """Types of names in a stretch of code: fields, parameters, and locals made, cast or matched; the first declaration holds."""
+    out: dict[str, str] = {}
+    for m in _TYPED[language].finditer(code):
+        g = m.groupdict()
+        name = g.get("name") or g.get("local") or g.get("pattern")
+        kind = g.get("type") or g.get("made") or g.get("cast") or g.get("as") or g.get("is")
+        if name and kind:
+            out.setdefault(name, kind.split("<")[0])
+    return out
+
+
 def code_calls(text: str, language: str) -> list[tuple]:
-    """(caller, caller_class, ordinal, name, receiver, line) of calls inside methods and functions."""
+    """(caller, caller_class, ordinal, name, receiver, receiver_type, line) of calls inside methods and functions.
+
+    receiver_type is what the method's own declarations say of the receiver, else the file's fields.
+    """
     code = masked_code(text, language)
     out = []
     lines = code.split("\n")
+    whole = declared_types(code, language)
     for s in code_symbols(text, language):
         if s[0] not in ("method", "function", "constructor"):
             continue
         body = "\n".join(lines[s[3] - 1 : s[4]])
+        known = {**whole, **declared_types(body, language)}
         start = body.find("{")
-        ordinal = 0
-        for m in _CALL.finditer(body, max(start, 0)):
-            if m["name"] in _NOT_CALLS:
-                continue
-            out.append((s[1], s[2], ordinal, m["name"], m["receiver"], s[3] + body.count("\n", 0, m.start("name"))))
-            ordinal += 1
+        for ordinal, m in enumerate(m for m in _CALL.finditer(body, max(start, 0)) if m["name"] not in _NOT_CALLS):
+            receiver = m["receiver"]
+            kind = s[2] if receiver in ("this", "self", "Self") else receiver if receiver and receiver[0].isupper() else known.get(receiver)
+            out.append((s[1], s[2], ordinal, m["name"], receiver, kind, s[3] + body.count("\n", 0, m.start("name"))))
+    return out
+
+
+def extension_methods(text: str) -> list[tuple]:
+    """(method, class, extended type, line) of C# extension methods: static, with `this` before the first parameter."""
+    code = masked_code(text, "cs")
+    line_of = _line_finder(code)
+    owners = [(m.start(), m["name"]) for m in re.finditer(r"\bstatic\s+(?:partial\s+)?class\s+(?P<name>\w+)", code)]
+    out = []
+    for m in re.finditer(rf"\bstatic\s+(?:async\s+)?{_TYPE}\s+(?P<name>\w+)\s*(?:<[^>(]*>)?\(\s*this\s+(?P<type>[A-Za-z_]\w*)", code):
+        before = [n for at, n in owners if at < m.start()]
+        if before:
+            out.append((m["name"], before[-1], m["type"], line_of(m.start("name"))))
     return out
 
 
@@ -348,7 +383,8 @@ _SCHEMAS = {
     "sql_calls": "kind string, schema string, name string, line int",
     "xml_elements": "element_id int, parent_id int, name string, path string, line int, end_line int, attributes array<string>, content string, is_leaf boolean",
     "code_symbols": "kind string, name string, parent string, line int, end_line int, modifiers array<string>, bases array<string>, params int, cyclomatic int, cognitive int, nesting int, returns int, lambdas int",
-    "code_calls": "caller string, caller_class string, ordinal int, name string, receiver string, line int",
+    "code_calls": "caller string, caller_class string, ordinal int, name string, receiver string, receiver_type string, line int",
+    "extension_methods": "name string, class_name string, extended string, line int",
 }
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 

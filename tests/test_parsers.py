@@ -69,7 +69,7 @@ def test_csharp():
     assert load[2:5] == ("Store", 8, 14) and load[7] == 2
     assert load[8:] == (6, 7, 2, 3, 0)  # if, ||, &&, else if, foreach; 1 + 1 + 1 + 1 + 2 + else 1
     assert ("class", "Fake") not in got
-    assert [c[3:5] for c in P.code_calls(CS, "cs") if c[0] == "Load"] == [("Exception", None), ("Tick", "_clock"), ("Find", None)]
+    assert [c[3:6] for c in P.code_calls(CS, "cs") if c[0] == "Load"] == [("Exception", None, None), ("Tick", "_clock", "IClock"), ("Find", None, None)]
 
 
 def test_typescript():
@@ -87,3 +87,11 @@ def test_plans_over_nulls_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, CS), (4, "x" * 100_000)], "file_id long, text string")
     assert {r.file_id for r in P.parsed(df, "code_symbols", "cs").collect()} == {3}
     assert rows(P.parsed(df.where("false"), "sql_symbols")) == []
+
+
+def test_declared_types_and_extensions():
+    code = "IStore a; Load(Foo b, int c) { var d = new Bar(1); var e = x as Baz; if (y is Qux z) { } var f = (Cast) g; }"
+    got = P.declared_types(code, "cs")
+    assert {k: got.get(k) for k in "abdezf"} == {"a": "IStore", "b": "Foo", "d": "Bar", "e": "Baz", "z": "Qux", "f": "Cast"}
+    assert P.declared_types("f(a: Foo) { const b = new Bar(); }", "ts") == {"a": "Foo", "b": "Bar"}
+    assert P.extension_methods("public static class X {\n public static int Len(this Str s) => 1;\n public static int No(Str s) => 1;\n}") == [("Len", "X", "Str", 2)]
