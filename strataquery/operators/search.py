@@ -73,12 +73,13 @@ def bm25(tf: Column, count: Column, files: Column, df: Column, average: Column,
 def scored(index: DataFrame, found: DataFrame, files: DataFrame, counts: DataFrame, score: str = "tf_idf", bonus_term: str | None = None) -> DataFrame:
     """(file_id, path, score, occurrences, terms_matched) of the files with tokens of found (term_idx, token).
 
-    files has (file_id, path) and is the whole index; counts has (file_id, token_count). found is as
-    small as the request's expansion. Scores are rounded to 9 places and tie by path.
+    files has (file_id, path) and is the whole index; counts has (file_id, token_count). An expansion
+    may be as large as the vocabulary, so it is broadcast only if it turns out small at run time.
+    Scores are rounded to 9 places and tie by path.
     """
     n_files = files.agg(F.count("*")).scalar()
-    df = index.join(F.broadcast(found.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    hits = index.join(F.broadcast(found), "token").join(F.broadcast(df), "token").join(counts, "file_id").join(files, "file_id")
+    df = index.join(found, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    hits = index.join(found.join(df, "token"), "token").join(counts, "file_id").join(files, "file_id")
     n, tf, c, d = n_files, F.col("tf"), F.col("token_count"), F.col("df")
     if score == "tf_idf":
         bonus = F.when(normal_stem(stem(F.col("path"))) == re.sub(r"[\W_]", "", bonus_term.lower()), STEM_BONUS).otherwise(0.0) if bonus_term else None

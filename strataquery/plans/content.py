@@ -128,7 +128,7 @@ def token_regex_and(spark, folder):
 def count_only(spark, folder):
     index = _index(spark, folder)
     found = S.containing(I.vocabulary(index), S.term_table(spark, ["cache", "tile"]))
-    hits = index.join(F.broadcast(found), "token").join(_files(spark, folder), "file_id")
+    hits = index.join(found, "token").join(_files(spark, folder), "file_id")
     return hits.agg(F.count_distinct("file_id").alias("n_files"), F.sum("tf").alias("occurrences"))
 
 

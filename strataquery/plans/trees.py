@@ -36,7 +36,7 @@ def class_scope(spark, folder):
     """Files that can hold callers of a class: those with the class, its I-form, or a longer token that holds its name."""
     vocab = I.vocabulary(_index(spark, folder))
     wanted = vocab.where(F.col("token").isin("planner", "iplanner") | (F.contains("token", F.lit("planner")) & (F.char_length("token") > 7))).select("token")
-    return _index(spark, folder).join(F.broadcast(wanted), "token", "left_semi").select("file_id").distinct()
+    return _index(spark, folder).join(wanted, "token", "left_semi").select("file_id").distinct()
 
 
 def production_only(spark, folder):

@@ -87,6 +87,33 @@ def orphans(metas: DataFrame, roots: DataFrame) -> DataFrame:
     return metas.join(roots, "root", "left_anti")
 
 
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Puts a small description in place by one rename, over an earlier one of that name."""
+    jvm = spark._jvm
+    target, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".staged"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(staged, True)
+    stream.write(bytearray(json.dumps(value).encode()))
+    stream.close()
+    fs.delete(target, False)
+    if not fs.rename(staged, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """A small description, or None."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 # ---- pages --------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from strataquery.operators.index import postings
 from strataquery.operators.reconcile import apply_delta
 from strataquery.session import scratch
+from strataquery.sources.store import read_json, write_json
 
+#: Buckets of files in which postings are rewritten together.
+BUCKETS = 64
+POSTINGS = "token string, file_id long, lines array<int>, tf long"
 #: Events that are no changes of indexed files.
 INTERNAL = r"(^|/)\.git(/|$)"
 
@@ -22,26 +26,40 @@ def last_states(events: DataFrame) -> DataFrame:
 class StreamedIndex:
     """Versions of postings (token, file_id, lines, tf) in one folder; version n holds batches 0 to n.
 
-    A batch writes its version whole and only then is the version read; a batch that is run again after a
-    failure overwrites its own version, so nothing is applied twice.
+    Postings lie in buckets by file. A batch reads and writes only the buckets of its files; a manifest
+    names the version of every bucket and is put in place last. A batch that is run again after a failure
+    starts from the manifest before it, so nothing is applied twice.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.folder = spark, folder or scratch(spark, "streamed")
         self.version = -1
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        at = self.version if version is None else version
-        return self.spark.read.parquet(f"{self.folder}/v{at}") if at >= 0 else None
+    def _manifest(self, version: int) -> dict:
+        return (read_json(self.spark, f"{self.folder}/manifest-{version}.json") or {}) if version >= 0 else {}
+
+    def _buckets(self, manifest: dict) -> DataFrame | None:
+        paths = [f"{self.folder}/v{v}/bucket={b}" for b, v in sorted(manifest.items())]
+        return self.spark.read.schema(POSTINGS).parquet(*paths) if paths else None
+
+    def read(self, version: int | None = None) -> DataFrame:
+        rows = self._buckets(self._manifest(self.version if version is None else version))
+        return self.spark.createDataFrame([], POSTINGS) if rows is None else rows
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """Applies one batch of events; file_id is the path's hash. Changed files without text keep their entries."""
+        bucket = F.pmod("file_id", F.lit(BUCKETS)).cast("int")
         states = last_states(batch).withColumn("file_id", F.xxhash64("path")).withColumn("readable", F.col("text").isNotNull()).persist()
         try:
-            new = postings(states.where("op <> 'remove' and readable"))
-            old = self.read(batch_id - 1)
+            manifest = self._manifest(batch_id - 1)
+            touched = {str(r[0]) for r in states.select(bucket).distinct().collect()}  # at most BUCKETS
+            new = postings(states.where("op <> 'remove' and readable")).select("token", "file_id", "lines", "tf")
+            old = self._buckets({b: v for b, v in manifest.items() if b in touched})
             merged = new if old is None else apply_delta(old, states.select("file_id", "op", "readable"), new)
-            merged.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+            merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{batch_id}")
+            kept = {b: v for b, v in manifest.items() if b not in touched}
+            written = {str(r[0]) for r in self.spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{self.folder}/v{batch_id}").select("bucket").distinct().collect()}
+            write_json(self.spark, f"{self.folder}/manifest-{batch_id}.json", kept | dict.fromkeys(written, batch_id))
             self.version = batch_id
         finally:
             states.unpersist()
