@@ -341,7 +341,9 @@ def linked(authors: DataFrame) -> DataFrame:
     asking = rows.where("size(weak) > 0").join(named, "box", "left").where("named is null").select("id", F.explode("weak").alias("ask"))
     offered = spellings.where("a <> ''").select(F.concat(F.lit("nm:"), "a", F.lit("|"), "b").alias("key"), F.explode(_offers_udf("a", "b")).alias("ask"))
     orgs = spellings.where("a = ''").select(F.concat(F.lit("org:"), "b").alias("key"), F.concat(F.lit("org:"), "b").alias("ask"))
-    weak = asking.join(offered.union(orgs).distinct(), "ask").groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other").select("id", "key")
+    # An ask counts if all its offers, and those of the row's other asks, are one; so two of them are enough.
+    offers = offered.union(orgs).groupBy("ask").agg(F.min("key").alias("key"), F.max("key").alias("other"))
+    weak = asking.join(offers, "ask").groupBy("id").agg(F.min("key").alias("key"), F.max("other").alias("other")).where("key = other").select("id", "key")
     # Each key's rows form a star around its least row: one edge per row and key.
     edges = stored(strong.union(weak).distinct(), "keys")
     centres = edges.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n"))
