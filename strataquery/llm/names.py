@@ -25,8 +25,8 @@ from strataquery.operators.components import components
 from strataquery.plans.skew import salted_join
 from strataquery.session import stored
 
-#: Least similarity of a word to what a login shows, and of words of up to SHORT letters; spellings of one block compared as they are.
-LIKE, SHORT, BLOCK = 0.86, 4, 200
+#: Least similarity of a word to what a login shows, and of words of up to SHORT letters; spellings of one block compared as they are; letters of the longest word compared.
+LIKE, SHORT, BLOCK, LONGEST = 0.86, 4, 200, 200
 
 #: Nicknames by first name (fixed values).
 NICKNAMES = {
@@ -91,7 +91,7 @@ def name_tokens(name: str | None) -> list[str]:
     if "@" in text:
         box = mailbox(text)
         text = box[0] if box else ""
-    text = re.sub(r"\(.*?\)|\[.*?\]|\bvia\s+\S+$", " ", text)
+    text = re.sub(r"\([^()]*\)|\[[^\[\]]*\]|\bvia\s+\S+$", " ", text)
     text = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text.replace("GmbH", "gmbh"))
     tokens = [t.strip("'`") for t in re.split(r"[\s,._\-&/]+", text.lower())]
     tokens = [t for t in tokens if t and t not in ("dr", "prof", "mr", "mrs", "ms", "ing", "jr", "sr")]
@@ -111,6 +111,33 @@ def _forms(first: str, last: str) -> set[str]:
     return {first[0] + last, last + first[0], last + first[:2], first[:2] + last, first + last, last + first}
 
 
+def one_error(x: str, y: str) -> bool:
+    """Whether one letter replaced, left out, added or swapped with its neighbour leads from x to y."""
+    if len(x) > len(y):
+        x, y = y, x
+    i = 0
+    while i < len(x) and x[i] == y[i]:
+        i += 1
+    if len(x) == len(y):
+        return x[i + 1 :] == y[i + 1 :] or (x[i : i + 2] == y[i : i + 2][::-1] and x[i + 2 :] == y[i + 2 :])
+    return len(y) - len(x) == 1 and x[i:] == y[i + 1 :]
+
+
+def _like(x: str, y: str) -> float:
+    """Jaro-Winkler similarity; words of more than LONGEST letters are no names and like themselves only."""
+    if max(len(x), len(y)) > LONGEST:
+        return float(x == y)
+    return jaro_winkler(x, y)
+
+
+def _near(x: str, y: str) -> float:
+    """Similarity of words one typing error apart, else 0; short words must be alike besides."""
+    if max(len(x), len(y)) > LONGEST or not one_error(x, y):
+        return 0.0
+    like = jaro_winkler(x, y)
+    return like if min(len(x), len(y)) > SHORT or like >= LIKE else 0.0
+
+
 class Reading:
     """What one row says: strong keys, weak keys, and spellings (two words, and for each whether the mailbox spells it)."""
 
@@ -137,7 +164,7 @@ class Reading:
         if full:
             agrees = False
             if spelled:
-                agrees = any(jaro_winkler(a, b) >= 0.85 for a in full if len(a) > 3 for b in spelled)
+                agrees = any(_like(a, b) >= 0.85 for a in full if len(a) > 3 for b in spelled)
             elif mine:
                 agrees = self._login(full, compact)
             if not agrees:
@@ -163,7 +190,7 @@ class Reading:
         role = bool(box) and box[0] in ROLES
         marked = [t for t in tokens if t in ORG_WORDS]
         rest = [t for t in tokens if t not in ORG_WORDS and len(t) > 1]
-        near = role and len(rest) == 1 and jaro_winkler(rest[0], label) >= 0.85
+        near = role and len(rest) == 1 and _like(rest[0], label) >= 0.85
         if not (near or (len(rest) == 1 and marked) or (role and not tokens)):
             return False
         if near or (role and not tokens):
@@ -205,7 +232,7 @@ class Reading:
                         shown = compact[: -len(lead)]
                     else:
                         continue
-                    like = _near(shown, b) or jaro_winkler(shown, b)
+                    like = _near(shown, b) or _like(shown, b)
                     if len(shown) > 4 and like >= LIKE and (best is None or (like, -abs(len(shown) - len(b))) > best[0]):
                         best = ((like, -abs(len(shown) - len(b))), first, shown)
         if best:
@@ -240,26 +267,6 @@ def blocks(a: str, b: str) -> list[str]:
     return sorted({f"{p}|{q[:6]}<", f"{p}|>{q[-6:]}", f"{q}|{p[:6]}<", f"{q}|>{p[-6:]}"}) if a else [f"|{q[:7]}<", f"|>{q[-8:]}"]
 
 
-def one_error(x: str, y: str) -> bool:
-    """Whether one letter replaced, left out, added or swapped with its neighbour leads from x to y."""
-    if len(x) > len(y):
-        x, y = y, x
-    i = 0
-    while i < len(x) and x[i] == y[i]:
-        i += 1
-    if len(x) == len(y):
-        return x[i + 1 :] == y[i + 1 :] or (x[i : i + 2] == y[i : i + 2][::-1] and x[i + 2 :] == y[i + 2 :])
-    return len(y) - len(x) == 1 and x[i:] == y[i + 1 :]
-
-
-def _near(x: str, y: str) -> float:
-    """Jaro-Winkler similarity of words one typing error apart, else 0; short words must be alike besides."""
-    if not one_error(x, y):
-        return 0.0
-    like = jaro_winkler(x, y)
-    return like if min(len(x), len(y)) > SHORT or like >= LIKE else 0.0
-
-
 def alike(one: tuple, two: tuple) -> tuple[float, bool, bool]:
     """(similarity, one asks, two asks) of spellings (a, b, sure of a, sure of b) that can be one name mistyped, else zeros.
 
@@ -317,6 +324,8 @@ def _block_udf(a, b):
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def _finer_udf(block, a, b):
     out = set()
+    if max(len(a), len(b)) > LONGEST:
+        return []
     for whole in (f"{a}|{b}", f"{b}|{a}"):  # an error may change the order of the words
         out |= {f"{block}#{whole}", *(f"{block}#{whole[:i]}{whole[i + 1 :]}" for i in range(len(whole)))}
     return sorted(out)

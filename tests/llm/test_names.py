@@ -54,6 +54,11 @@ def test_one_error(a, b, expected):
     assert N.one_error(a, b) == expected == N.one_error(b, a)
 
 
+def test_long_names_take_no_long(spark):
+    rows = [(1, "a" * 50_000 + " " + "b" * 50_000, "a" * 50_000 + "@x.example"), (2, "(" * 50_000, "[" * 50_000 + "@x"), (3, "A" * 50_000 + " " + "b" * 50_001, "b" * 50_000 + "@x.example")]
+    assert N.linked(spark.createDataFrame(rows, SCHEMA)).collect() == []
+
+
 def test_readings():
     assert N.mailbox(" 12+Ab.C+git@Mail.X.example ") == ("ab.c", "x.example") and N.mailbox("nobody") is None
     assert N.name_tokens("MaximilianTurlumneltur (brelko) via x") == ["maximilian", "turlumneltur"]
