@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Longest text that is parsed.
-LIMIT = 4 << 20
+#: Longest text that is parsed, and blocks around a callable whose metrics are still counted.
+LIMIT, DEEPEST = 4 << 20, 64
 
 
 
@@ -190,15 +190,15 @@ _COMMENT_OR_STRING = {
     "ts": r"//[^\n]*|/\*.*?(?:\*/|\Z)|`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
     "rs": r"//[^\n]*|/\*.*?(?:\*/|\Z)|r#*\".*?\"#*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'",
 }
-_MODIFIERS = r"(?P<mods>(?:\b(?:public|private|protected|internal|static|sealed|abstract|partial|virtual|override|async|readonly|const|extern|unsafe|new|export|default|declare|pub(?:\([^)]*\))?)\s+)*)"
+_MODIFIERS = r"(?P<mods>(?:\b(?:public|private|protected|internal|static|sealed|abstract|partial|virtual|override|async|readonly|const|extern|unsafe|new|export|default|declare|pub(?:\([^)\n]*\))?)\s+){0,8})"
 _TYPE = r"[A-Za-z_][\w.]*(?:<[^;{}()]*>)?(?:\[\])?\??"
 _PATTERNS = {
     "cs": [
         (re.compile(rf"{_MODIFIERS}\b(?P<kind>class|interface|struct|enum|record)\s+(?P<name>\w+)(?:<[^>{{]*>)?(?:\s*:\s*(?P<bases>[^{{;]+))?"), None),
-        (re.compile(rf"(?P<mods>(?:\b(?:public|private|protected|internal|static|virtual|override|async|abstract|sealed|extern|new|partial)\s+)+)(?P<type>{_TYPE})\s+(?P<name>\w+)(?:<[^>(]*>)?\s*\((?P<params>[^)]*)\)"), "method"),
-        (re.compile(r"(?P<mods>(?:\b(?:public|private|protected|internal|static)\s+)+)(?P<name>\w+)\s*\((?P<params>[^)]*)\)"), "constructor"),
-        (re.compile(rf"(?P<mods>(?:\b(?:public|private|protected|internal|static|virtual|override|readonly)\s+)+)(?P<type>{_TYPE})\s+(?P<name>\w+)\s*(?=\{{|=>)"), "property"),
-        (re.compile(rf"(?P<mods>(?:\b(?:public|private|protected|internal|static|readonly|const|volatile)\s+)+)(?P<type>{_TYPE})\s+(?P<name>\w+)\s*(?=;|=[^>=])"), "field"),
+        (re.compile(rf"(?P<mods>(?:\b(?:public|private|protected|internal|static|virtual|override|async|abstract|sealed|extern|new|partial)\s+){{1,8}})(?P<type>{_TYPE})\s+(?P<name>\w+)(?:<[^>(]*>)?\s*\((?P<params>[^)]*)\)"), "method"),
+        (re.compile(r"(?P<mods>(?:\b(?:public|private|protected|internal|static)\s+){1,8})(?P<name>\w+)\s*\((?P<params>[^)]*)\)"), "constructor"),
+        (re.compile(rf"(?P<mods>(?:\b(?:public|private|protected|internal|static|virtual|override|readonly)\s+){{1,8}})(?P<type>{_TYPE})\s+(?P<name>\w+)\s*(?=\{{|=>)"), "property"),
+        (re.compile(rf"(?P<mods>(?:\b(?:public|private|protected|internal|static|readonly|const|volatile)\s+){{1,8}})(?P<type>{_TYPE})\s+(?P<name>\w+)\s*(?=;|=[^>=])"), "field"),
     ],
     "ts": [
         (re.compile(rf"{_MODIFIERS}\b(?P<kind>class|interface|enum)\s+(?P<name>\w+)(?:<[^>{{]*>)?(?P<bases>(?:\s+(?:extends|implements)\s+[^{{]+)?)"), None),
@@ -233,21 +233,21 @@ def masked_code(text: str, language: str) -> str:
     return re.sub(_COMMENT_OR_STRING[language], lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 
-def _block(code: str, at: int) -> tuple[int, int] | None:
+def _brace_ends(code: str) -> dict[int, int]:
+    """Closing brace of every opening one; the end of the text for those that are never closed."""
+    ends, open_ = {}, []
+    for m in re.finditer("[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            ends[open_.pop()] = m.start()
+    return ends | dict.fromkeys(open_, len(code))
+
+
+def _block(code: str, at: int, ends: dict[int, int]) -> tuple[int, int] | None:
     """(start, end) of the braces that follow, unless a statement ends before."""
-    open_ = code.find("{", at)
-    semicolon = code.find(";", at)
-    if open_ < 0 or 0 <= semicolon < open_:
-        return None
-    depth = 0
-    for i in range(open_, len(code)):
-        if code[i] == "{":
-            depth += 1
-        elif code[i] == "}":
-            depth -= 1
-            if not depth:
-                return open_, i
-    return open_, len(code)
+    m = re.compile("[{;]").search(code, at)
+    return (m.start(), ends[m.start()]) if m and m[0] == "{" else None
 
 
 def complexity(body: str, language: str) -> tuple[int, int, int, int, int]:
@@ -296,7 +296,7 @@ def code_symbols(text: str, language: str) -> list[tuple]:
     code = masked_code(text, language)
     found: list[tuple] = []
     taken: set[int] = set()
-    line_of = _line_finder(code)
+    line_of, ends = _line_finder(code), _brace_ends(code)
     for pattern, fixed in _PATTERNS[language]:
         for m in pattern.finditer(code):
             if m.start("name") in taken or m["name"] in _NOT_CALLS:
@@ -304,20 +304,26 @@ def code_symbols(text: str, language: str) -> list[tuple]:
             groups = m.groupdict()
             kind = fixed or _RUST_KINDS.get(groups["kind"], groups["kind"])
             taken.add(m.start("name"))
-            block = _block(code, m.end()) if kind not in ("field", "variable", "typeAlias") else None
+            block = _block(code, m.end(), ends) if kind not in ("field", "variable", "typeAlias") else None
             bases = [b.strip() for b in re.split(r",(?![^<]*>)|\bextends\b|\bimplements\b", groups.get("bases") or "") if b.strip()]
             found.append((m.start("name"), block[1] if block else m.end(), kind, m["name"], (groups.get("mods") or "").split(), bases, groups.get("params"), block))
     owners = [(f[0], f[1], f[3]) for f in found if f[2] in ("class", "interface", "struct", "enum", "record") and f[7]]
     if language == "rs":
-        owners += [(m.start("name"), _block(code, m.end() - 1)[1], m["name"]) for m in _IMPL.finditer(code) if _block(code, m.end() - 1)]
+        blocks = [(m.start("name"), _block(code, m.end(), ends), m["name"]) for m in _IMPL.finditer(code)]
+        owners += [(at, block[1], name) for at, block, name in blocks if block]
     out = []
+    open_: list[int] = []
     for at, end, kind, name, mods, bases, params, block in sorted(found):
+        while open_ and open_[-1] < at:
+            open_.pop()
+        if block:
+            open_.append(block[1])
         around = [o for o in owners if o[0] < at and end <= o[1]]
         parent = max(around)[2] if around else None
         if language == "rs" and kind == "function" and parent:
             kind = "method"
         n = len([p for p in re.split(r",(?![^<(]*[>)])", params) if p.strip()]) if params is not None else None
-        stats = complexity(code[block[0] + 1 : block[1]], language) if block and kind in ("method", "constructor", "function") else (None,) * 5
+        stats = complexity(code[block[0] + 1 : block[1]], language) if block and kind in ("method", "constructor", "function") and len(open_) <= DEEPEST else (None,) * 5
         out.append((kind, name, parent, line_of(at), line_of(end), mods, bases, n, *stats))
     return out
 
