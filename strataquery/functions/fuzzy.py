@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def jaro(a: str, b: str) -> float:
-    """Jaro similarity: matching characters within a window, less half the transpositions."""
+    """Jaro similarity: matching characters within a window, less half the transpositions, rounded down."""
     if a == b:
         return 1.0
     n, m = len(a), len(b)
@@ -27,7 +27,7 @@ def jaro(a: str, b: str) -> float:
     if not k:
         return 0.0
     theirs = [b[j] for j in range(m) if not free[j]]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     return (k / n + k / m + (k - swaps) / k) / 3
 
 
