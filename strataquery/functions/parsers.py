@@ -26,7 +26,7 @@ def _line_finder(text: str) -> Callable[[int], int]:
 # ---- SQL ----------------------------------------------------------------------------------------
 
 _PART = r'(?:\[(?:[^\]]|\]\])+\]|"(?:[^"]|"")+"|[A-Za-z_@#][\w@#$]*)'
-_IDENTIFIER = rf"{_PART}(?:\s*\.\s*{_PART}){{0,3}}"
+_IDENTIFIER = rf"{_PART}(?:\s*\.\s*{_PART}){{0,3}}(?![\w@#$]|\s*\.)"  # a name that is cut off is none
 _CREATE = re.compile(
     rf"\b(?P<verb>CREATE(?:\s+OR\s+ALTER)?|ALTER)\s+(?P<kind>PROC(?:EDURE)?|FUNCTION|VIEW|TABLE|TYPE|(?:UNIQUE\s+)?(?:CLUSTERED\s+|NONCLUSTERED\s+)?INDEX)\s+(?P<name>{_IDENTIFIER})", re.I
 )

@@ -22,7 +22,7 @@ CREATE VIEW v AS SELECT 1
 
 def test_sql_symbols():
     assert P.sql_symbols(SQL) == [("table", "Or]ders", "dbo", 2, 6), ("column", "Id", "Or]ders", 3, 3), ("column", "Total", "Or]ders", 4, 4), ("storedProcedure", "Load", "dbo", 8, 13), ("view", "v", None, 15, 15)]
-    assert P.sql_symbols("") == P.sql_symbols("-- only\n") == []
+    assert P.sql_symbols("") == P.sql_symbols("-- only\n") == P.sql_symbols("CREATE TABLE [dbo].[Cut") == P.sql_symbols("CREATE TABLE dbo.") == []
 
 
 def test_sql_calls():
