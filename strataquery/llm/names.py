@@ -2,10 +2,10 @@
 
 Each row is read for spellings: of the typed name, and of the mailbox where it is spelled out. Rows with
 an equal spelling or personal mailbox belong together at once. Different spellings are compared only
-within blocks of equal phonetic codes of their sorted tokens (the code of one side whole, of the other
-its head or its tail, so that one typing error leaves a block in common), by Jaro-Winkler and a table of
-nicknames, and linked if one typing error leads from one to the other, unless mailboxes of their own
-confirm both. Accepted links are clustered by connected components.
+within blocks of one word as it is, nicknames resolved, and the phonetic codes of the other, whole and with
+each letter left out (so that spellings one typing error apart always have a block in common), by
+Jaro-Winkler and a table of nicknames, and linked if one typing error leads from one to the other, unless
+mailboxes of their own confirm both. Accepted links are clustered by connected components.
 """
 
 from __future__ import annotations
@@ -261,10 +261,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def blocks(a: str, b: str) -> list[str]:
-    """Blocks of a spelling by the phonetic codes of its sorted tokens."""
-    p, q = phonetic(a), phonetic(b)
-    return sorted({f"{p}|{q[:6]}<", f"{p}|>{q[-6:]}", f"{q}|{p[:6]}<", f"{q}|>{p[-6:]}"}) if a else [f"|{q[:7]}<", f"|>{q[-8:]}"]
+def _left_out(word: str) -> set[str]:
+    """A word whole and with each letter left out; words one typing error apart have one of these in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def _keyed(a: str, b: str) -> Iterator[tuple[str, set[str]]]:
+    """Either word as the equal one, and what the other may have in common with a mistyped form."""
+    for equal, other in ((a, b), (b, a)):  # an error may change the order of the words
+        if len(other) <= LONGEST:  # longer words are near none
+            forms = _left_out(other)
+            yield from ((whole, forms) for whole in _whole(equal))
+
+
+def blocks(a: str, b: str) -> list[int]:
+    """Blocks of a spelling, as hashes: one word with nicknames resolved, and codes of the other's forms.
+
+    The letter is left out before coding: one error can change a code in more than one place.
+    """
+    return sorted({_hash(f"{code}|{whole}") for whole, forms in _keyed(a, b) for code in {phonetic(f) for f in forms}})
 
 
 def alike(one: tuple, two: tuple) -> tuple[float, bool, bool]:
@@ -301,8 +316,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close_spellings(spellings: DataFrame) -> DataFrame:
     """(k1, k2) of different spellings that mean the same; each unsure spelling is linked to the most alike.
 
-    Blocks above BLOCK spellings are cut further by every spelling with one letter left out. As links need
-    spellings one typing error apart, none is lost by that, whatever the size of a block.
+    Blocks above BLOCK spellings are cut further by the forms themselves instead of their codes. As links
+    need spellings one typing error apart, none is lost by that, whatever the size of a block.
     """
     keyed = spellings.select("a", "b", "sa", "sb", F.explode(_block_udf("a", "b")).alias("block"))
     sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -316,19 +331,14 @@ def _close_spellings(spellings: DataFrame) -> DataFrame:
     return links.groupBy("k1").agg(F.max_by("k2", F.struct("score", "k2")).alias("k2"))
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+@F.udf(T.ArrayType(T.LongType()), useArrow=True)
 def _block_udf(a, b):
     return blocks(a, b)
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+@F.udf(T.ArrayType(T.LongType()), useArrow=True)
 def _finer_udf(block, a, b):
-    out = set()
-    if max(len(a), len(b)) > LONGEST:
-        return []
-    for whole in (f"{a}|{b}", f"{b}|{a}"):  # an error may change the order of the words
-        out |= {f"{block}#{whole}", *(f"{block}#{whole[:i]}{whole[i + 1 :]}" for i in range(len(whole)))}
-    return sorted(out)
+    return sorted({_hash(f"{block}#{form}|{whole}") for whole, forms in _keyed(a, b) for form in forms})
 
 
 def linked(authors: DataFrame) -> DataFrame:

@@ -49,6 +49,19 @@ def test_large_blocks_are_cut_finer(spark, monkeypatch):
     assert sorted((g for g in found.values() if len(g) > 1), key=min) == GROUPS
 
 
+@pytest.mark.parametrize("block", [200, 1])
+def test_any_error_leaves_a_block_in_common(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    words = [("robert", "robrrt"), ("salvador", "savador"), ("isidora", "isinora"), ("benjamin", "benajmin"), ("nellevbrebor", "nellevrbebor"), ("kanelmobabo", "kanelmobbbo")]
+    rows = [(2 * i + j, f"Ottoline {w}", None) for i, pair in enumerate(words) for j, w in enumerate(pair)]
+    found = {}
+    for r in N.linked(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r.entity, set()).add(r.author_id)
+    assert sorted(found.values(), key=min) == [{2 * i, 2 * i + 1} for i in range(len(words))]
+    for x, y in words:
+        assert set(N.blocks("kemquopelvik", x)) & set(N.blocks("kemquopelvik", y))
+
+
 @pytest.mark.parametrize(("a", "b", "expected"), [("abcd", "abxd", True), ("abcd", "acbd", True), ("abcd", "abd", True), ("abcd", "abcde", True), ("abcd", "badc", False), ("abcd", "ab", False)])
 def test_one_error(a, b, expected):
     assert N.one_error(a, b) == expected == N.one_error(b, a)
