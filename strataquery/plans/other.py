@@ -194,7 +194,7 @@ def custom_elements(spark, folder):
     def elements(html: pd.Series) -> pd.Series:
         return html.map(P.custom_elements)
 
-    rows = _by_extension(spark, folder, "ts").where("text is not null").select("file_id", F.regexp_extract("text", r"selector:\s*'([^']+)'", 1).alias("selector"), F.regexp_extract("text", r"template:\s*`([^`]*)`", 1).alias("template"))
+    rows = _by_extension(spark, folder, "ts").where("text is not null").select("file_id", F.inline(X.components(F.col("text"))))
     return rows.where("template <> ''").select("file_id", "selector", F.explode(elements("template")).alias("child"))
 
 

@@ -45,27 +45,40 @@ def production_only(spark, folder):
     return rows.where(~Y.is_test(F.col("path")) & ~Y.is_test_file(F.col("path"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _template_edges(spark, folder):
-    """(src, dst): selectors of components and those used in their templates."""
+def _template_edges(spark, folder, every=False):
+    """(src, dst): selectors of components and those used in their templates; of a text's first component, or of every one."""
     docs = _documents(spark, folder).where((X.extension(F.col("path")) == "ts") & F.col("text").isNotNull())
-    rows = docs.select(F.regexp_extract("text", r"selector:\s*'([^']+)'", 1).alias("src"), F.regexp_extract("text", r"template:\s*`([^`]*)`", 1).alias("template"))
-    return rows.where("src <> ''").select(F.lower("src").alias("src"), F.explode(F.regexp_extract_all("template", F.lit(r"<([a-z][a-z0-9]*-[a-z0-9-]+)"), 1)).alias("dst")).where("src <> dst").distinct()
+    if every:
+        rows = docs.select(F.inline(X.components(F.col("text"))))
+    else:
+        rows = docs.select(F.regexp_extract("text", r"selector:\s*'([^']+)'", 1).alias("selector"), F.regexp_extract("text", r"template:\s*`([^`]*)`", 1).alias("template"))
+    return rows.where("selector <> ''").select(F.lower("selector").alias("src"), F.explode(F.regexp_extract_all("template", F.lit(r"<([a-z][a-z0-9]*-[a-z0-9-]+)"), 1)).alias("dst")).where("src <> dst").distinct()
 
 
 def _selectors(spark, *names):
     return spark.createDataFrame([(n, n) for n in names], "root string, node string")
 
 
-def template_tree_down(spark, folder):
-    """Selectors below components; each comes once in a tree."""
-    return G.reach(_template_edges(spark, folder), _selectors(spark, "app-callee", "app-lantern", "app-scope"), 3)
+def template_tree_down(spark, folder, every=False):
+    """Selectors below components; each comes once in a tree. As in the SQL, a text's first component only."""
+    return G.reach(_template_edges(spark, folder, every), _selectors(spark, "app-callee", "app-lantern", "app-scope"), 3)
 
 
-def template_tree_up(spark, folder):
-    edges = _template_edges(spark, folder).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+def template_tree_up(spark, folder, every=False):
+    edges = _template_edges(spark, folder, every).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return G.reach(edges, _selectors(spark, "app-tide", "app-lattice", "app-receiver"), 3)
 
 
+def template_tree_down_all(spark, folder):
+    """template_tree_down over every component of each text."""
+    return template_tree_down(spark, folder, every=True)
+
+
+def template_tree_up_all(spark, folder):
+    """template_tree_up over every component of each text."""
+    return template_tree_up(spark, folder, every=True)
+
+
 def index_info(spark, folder):
     """One row: files, indexed files, tokens and occurrences of the content index."""
     index = _index(spark, folder)
@@ -97,7 +110,7 @@ def vocabulary_growth(spark, folder):
     return names.join(vocab, "token", "left_anti").groupBy("kind").agg(F.count("*").alias("n_names"))
 
 
-_NAMES = "implementers root_election class_scope production_only template_tree_down template_tree_up index_info file_info injected_fields extension_methods vocabulary_growth".split()
+_NAMES = "implementers root_election class_scope production_only template_tree_down template_tree_up template_tree_down_all template_tree_up_all index_info file_info injected_fields extension_methods vocabulary_growth".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 _EXT = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"

@@ -59,3 +59,10 @@ def test_fnv1a():
 @given(st.text(max_size=40))
 def test_fnv1a_is_64_bits(text):
     assert 0 <= X.fnv1a(text) < 1 << 64
+
+
+def test_every_component_has_its_own_template(spark):
+    text = "@Component({\n  selector: 'app-a',\n  template: `<app-b></app-b>`\n})\nclass A {}\n@Component({template: `<app-c/>`, selector: 'app-b'})\nclass B {}\n@Directive({ selector: 'app-d' })\nclass D {}\n@Component ( { selector: 'app-e', templateUrl: 'e.html' })"
+    df = spark.createDataFrame([(text,), ("no component",), (None,)], "text string")
+    found = [tuple(c) for r in df.select(X.components(F.col("text")).alias("c")).collect() for c in r.c or [] if c.selector or c.template]
+    assert found == [("app-a", "<app-b></app-b>"), ("app-b", "<app-c/>"), ("app-d", ""), ("app-e", "")]
