@@ -15,18 +15,22 @@ def jaro(a: str, b: str) -> float:
     if not n or not m:
         return 0.0
     reach = max(max(n, m) // 2 - 1, 0)
-    free = [True] * m
-    mine = []
+    # Places of b by letter, each looked at once: a letter left behind by the window never comes back, so long texts cost no more per letter.
+    places: dict[str, list[int]] = {}
+    for j in range(m - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    mine, taken = [], []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                mine.append(c)
-                break
+        left = places.get(c)
+        while left and left[-1] < i - reach:
+            left.pop()
+        if left and left[-1] <= i + reach:
+            taken.append(left.pop())
+            mine.append(c)
     k = len(mine)
     if not k:
         return 0.0
-    theirs = [b[j] for j in range(m) if not free[j]]
+    theirs = [b[j] for j in sorted(taken)]
     swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     return (k / n + k / m + (k - swaps) / k) / 3
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot from this share of the large side on, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 512
-#: Pieces a hot key is split into.
-SALTS = 64
+#: Most rows of one piece of a hot key, whatever the size of the whole; the pieces follow from the key's size.
+PIECE_ROWS = 2_000_000
 #: What may be broadcast, in rows and bytes; both are measured or proven before the hint is given.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
@@ -27,10 +27,12 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def hot_keys(sizes: DataFrame, keys: list[str], size: str, share: int = HOT_SHARE, least: int = 50_000) -> DataFrame:
     """Keys of sizes (one row per key, column size) that own at least 1/share of the total and at least `least` rows.
 
-    At most `share` rows by construction, hence safe to broadcast.
+    At most `share` rows by construction, hence safe to broadcast. `__pieces` is how many tasks a key is worth:
+    pieces of 1/share of the total, of at least `least` and at most PIECE_ROWS rows.
     """
     total = sizes.agg(F.sum(size)).scalar()
-    return sizes.where((F.col(size) >= least) & (F.col(size) * share >= total)).select(*keys)
+    piece = F.least(F.greatest(total / share, F.lit(least)), F.greatest(F.lit(PIECE_ROWS), F.lit(least)))
+    return sizes.where((F.col(size) >= least) & (F.col(size) * share >= total)).select(*keys, F.greatest(F.ceil(F.col(size) / piece), F.lit(2)).cast("int").alias("__pieces"))
 
 
 def salted_join(
@@ -41,24 +43,27 @@ def salted_join(
     size: str,
     spread: Column,
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
     least: int = 50_000,
     once_per: list[str] | None = None,
 ) -> DataFrame:
-    """Equi-join of big with small on keys; hot keys are split over `salts` tasks.
+    """Equi-join of big with small on keys; hot keys are split over as many tasks as their size asks for.
 
     sizes has one row per key and its number of rows in big. spread is an expression over big that
     scatters the rows of one key evenly and is equal for equal rows (a hash of its row id). Rows of
     small with hot keys are repeated once per salt; all others meet under salt 0. Null keys never match.
-    once_per: columns of big; rows equal in these and the keys are joined once, without a further shuffle.
+    salts: a fixed number of pieces in place of hot_keys'. once_per: columns of big; rows equal in these
+    and the keys are joined once, without a further shuffle.
     """
-    hot = F.broadcast(hot_keys(sizes, keys, size, least=least).withColumn("__hot", F.lit(True)))
-    left = big.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
+    hot = F.broadcast(hot_keys(sizes, keys, size, least=least))
+    if salts:
+        hot = hot.withColumn("__pieces", F.lit(salts))
+    left = big.join(hot, keys, "left").withColumn("__salt", F.coalesce(F.pmod(spread, F.col("__pieces")), F.lit(0)).cast("int")).drop("__pieces")
     if once_per:
         left = left.repartition(*keys, "__salt").dropDuplicates([*keys, "__salt", *once_per])
     right = (
         small.join(hot, keys, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("__hot")
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces") - 1, F.lit(0)))))
+        .drop("__pieces")
     )
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

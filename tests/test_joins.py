@@ -3,9 +3,9 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
-from strataquery.functions.fuzzy import jaro_winkler
+from strataquery.functions.fuzzy import jaro, jaro_winkler
 from strataquery.operators.components import components
-from strataquery.plans.skew import maybe_broadcast, salted_join
+from strataquery.plans.skew import hot_keys, maybe_broadcast, salted_join
 
 
 def test_salted_join_like_a_join(spark):
@@ -50,3 +50,32 @@ def test_components_like_union_find(spark):
 def test_jaro_winkler_known_values():
     for a, b, score in (("martha", "marhta", 0.961111), ("dixon", "dicksonx", 0.813333), ("", "", 1.0), ("a", "", 0.0), ("same", "same", 1.0)):
         assert round(jaro_winkler(a, b), 6) == score
+
+
+def test_jaro_like_its_definition():
+    def slow(a, b):
+        if a == b:
+            return 1.0
+        reach, free, mine = max(max(len(a), len(b)) // 2 - 1, 0), [True] * len(b), []
+        for i, c in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if free[j] and b[j] == c:
+                    free[j] = False
+                    mine.append(c)
+                    break
+        if not mine:
+            return 0.0
+        theirs = [c for c, f in zip(b, free, strict=True) if not f]
+        k, swaps = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
+        return (k / len(a) + k / len(b) + (k - swaps) / k) / 3
+
+    random.seed(5)
+    for _ in range(3000):
+        a, b = ("".join(random.choices("abcd", k=random.randrange(12))) for _ in range(2))
+        assert jaro(a, b) == slow(a, b)
+    assert jaro("ab" * 50_000, "ba" * 50_000) > 0.8
+
+
+def test_pieces_follow_the_size(spark):
+    sizes = spark.createDataFrame([("a", 4_000_000_000), ("b", 10), ("c", 6_000_000_000), ("d", 60_000)], "k string, n long")
+    assert rows(hot_keys(sizes, ["k"], "n")) == [("a", 2000), ("c", 3000)]
