@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataquery.operators.hierarchy import hierarchy, related_pairs
 from strataquery.operators.increment import changed_inputs
+from strataquery.session import scratch
 from strataquery.sources.tables import table
 
 _DEFINITIONS = ("def_id", "file_id", "name", "kind", "parent")
@@ -16,6 +17,14 @@ def p4_found(spark, folder):
     return changed_inputs(fingerprints, table(spark, folder, "index_runs", "run_id", "status"))
 
 
+def p4_resumed(spark, folder):
+    """The same from a store that was left after three successful runs and opened again."""
+    fingerprints = table(spark, folder, "fingerprints", "obs_id", "run_id", "path", "content_hash", "seen_at")
+    runs, kept = table(spark, folder, "index_runs", "run_id", "status"), scratch(spark, "resumed")
+    changed_inputs(fingerprints, runs, kept, first=3)
+    return changed_inputs(fingerprints, runs, kept)
+
+
 def p5_found(spark, folder):
     return related_pairs(table(spark, folder, "definitions", *_DEFINITIONS))
 
@@ -30,7 +39,7 @@ def p5_depths(spark, folder):
     return rows.groupBy("depth").agg(F.count("*").alias("n_definitions"), F.count_distinct("root_id").alias("n_roots"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_depths": p5_depths}
+QUERIES = {"p4_found": p4_found, "p4_resumed": p4_resumed, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_depths": p5_depths}
 
 _CLEAN = r"regexp_replace(regexp_replace(replace(path, '\', '/'), '/+', '/', 'g'), '^(\./)+', '')"
 _BARE = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(parent, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'),
@@ -53,3 +62,4 @@ SQL = {
         reach AS (SELECT child, parent FROM edge UNION SELECT r.child, e.parent FROM reach r JOIN edge e ON e.child = r.parent)
         SELECT DISTINCT least(child, parent) AS def_id_a, greatest(child, parent) AS def_id_b FROM reach WHERE child <> parent""",
 }
+SQL["p4_resumed"] = SQL["p4_found"]

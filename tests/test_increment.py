@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from strataquery.operators.increment import IncrementalStore, changed_inputs, clean_path
+from strataquery.operators.increment import IncrementalStore, _node, _ranges, changed_inputs, clean_path
 from strataquery.session import scratch
 
 
@@ -75,3 +75,68 @@ def test_changed_inputs(spark):
     assert rows(changed_inputs(rows_, runs)) == sorted([(1, "a"), (1, "b"), (4, "b"), (4, "d"), (5, "c")], key=repr)
     assert rows(changed_inputs(rows_, runs.where("false"))) == []
     assert rows(changed_inputs(rows_.where("false"), runs)) == []
+
+
+def test_few_changes_reach_few_leaves(spark):
+    random.seed(4)
+    store = IncrementalStore(spark, scratch(spark, "t"))
+    state = {f"p{i}": "a" for i in range(30_000)}
+    store.process(0, frame(spark, state))
+    changed = [f"p{i}" for i in random.sample(range(30_000), 60)]
+    state.update(dict.fromkeys(changed, "b"))
+    assert rows(store.process(1, frame(spark, state)), "key") == sorted((k,) for k in changed)
+    about = store.manifest()
+    assert about["descended"] <= 60 and about["descended"] * 5 < about["leaves"]
+    for k in random.sample(sorted(state), 100):  # away for good: they make their leaves differ once
+        del state[k]
+    for run, least in ((2, 1), (3, 0)):
+        assert rows(store.process(run, frame(spark, state))) == []
+        assert least <= store.manifest()["descended"] <= 100 * least
+    state["p7"] = "c"
+    assert rows(store.process(4, frame(spark, state))) == [(4, "p7", "c")]
+    assert store.manifest()["descended"] == 1
+
+
+@pytest.mark.parametrize("top", [12, 4, 2])
+def test_the_tree_grows(spark, monkeypatch, top):
+    monkeypatch.setattr("strataquery.operators.increment.TOP", top)
+    monkeypatch.setattr("strataquery.operators.increment.FAN", 2)
+    random.seed(5)
+    store, known, state = IncrementalStore(spark, scratch(spark, "t")), {}, {"p": "1"}
+    depths = []
+    for run in range(5):
+        seen = {k: v for k, v in state.items() if random.random() < 0.95}
+        expected = sorted((run, k, v) for k, v in seen.items() if known.get(k) != v)
+        assert rows(store.process(run, frame(spark, seen))) == sorted(expected, key=repr)
+        known.update(seen)
+        depths.append(store.manifest()["bits"])
+        for k in random.sample(sorted(state), len(state) // 20):
+            state[k] = str(random.random())
+        state.update({f"n{run}-{i}": "x" for i in range(500 * run)})
+    assert depths[-1] >= 6 > depths[0]
+
+
+def test_a_run_without_records_keeps_the_tree(spark):
+    store = IncrementalStore(spark, scratch(spark, "t"))
+    store.process(1, frame(spark, {"a": "1", "b": "2"}))
+    store.process(2, spark.createDataFrame([], "key string, digest string"))
+    assert rows(store.process(3, frame(spark, {"a": "1", "b": "3"}))) == [(3, "b", "3")]
+
+
+def test_ranges_hold_all_keys_below_their_nodes(spark):
+    random.seed(6)
+    df = spark.range(3000).selectExpr("xxhash64(id) h")
+    for bits, nodes in ((0, [0]), (1, [0, 1]), (3, [0, 3, 4, 7]), (12, random.sample(range(4096), 500)), (12, [0, 2047, 2048, 4095])):
+        inside = df.where(_node(bits).isin(nodes))
+        assert inside.where(~_ranges(nodes, bits)).count() == 0
+        if bits == 3:
+            assert df.where(_ranges(nodes, bits)).count() == inside.count()
+
+
+def test_a_store_goes_on_where_it_was_left(spark):
+    runs = spark.createDataFrame([(r, "ok") for r in (1, 2, 3)], "run_id long, status string")
+    seen = [(r, r, "a", f"h{r // 2}", r) for r in (1, 2, 3)] + [(9, 3, "b", "x", 3)]
+    df = spark.createDataFrame(seen, "obs_id long, run_id long, path string, content_hash string, seen_at long").selectExpr("obs_id", "run_id", "path", "content_hash", "timestamp_seconds(seen_at) seen_at")
+    folder = scratch(spark, "t")
+    assert rows(changed_inputs(df, runs, folder, first=1)) == [(1, "a")]
+    assert rows(changed_inputs(df, runs, folder)) == rows(changed_inputs(df, runs)) == [(1, "a"), (2, "a"), (3, "b")]
