@@ -1,19 +1,21 @@
 """Encoding of the whole corpus with a public tokenizer, shared passages encoded once.
 
 Texts are cut where a rolling hash of the characters before says so, so equal passages give equal chunks
-wherever they stand. Every distinct chunk is encoded once, with a mark on the first token of each piece
-that the tokenizer's pattern splits text into. Chunks then meet again by document, and every join is
-repaired: the pattern looks ahead only, so a text's pieces from one boundary on depend on nothing before
-it. The last pieces of the left side, which the cut may have changed, are encoded again with the first of
-the right side until a boundary of both agrees; from there on the right side's tokens hold as they are.
+wherever they stand. Documents none of whose chunks stands elsewhere have nothing to share and are encoded in
+one piece where they lie. Of all others every distinct chunk is encoded once, with a mark on the first token
+of each piece that the tokenizer's pattern splits text into. Chunks then meet again by document, and every
+join is repaired: the pattern looks ahead only, so a text's pieces from one boundary on depend on nothing
+before it. The last pieces of the left side, which the cut may have changed, are encoded again with the first
+of the right side until a boundary of both agrees; from there on the right side's tokens hold as they are.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.plans.skew import salted_join
+from strataquery.plans.skew import maybe_broadcast, salted_join
 from strataquery.session import stored
 
 #: Where the vocabulary files are, and the default one.
@@ -30,6 +32,9 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k"
 WINDOW, USUAL, LEAST, GREATEST = 24, 768, 256, 8192
 #: Marks a token that begins a piece.
 START = 1 << 24
+#: What the vocabulary's texts are split by (fixed value); runs of white space on which its search would run out of stack.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+_BLANKS = re.compile(r"\s{4096}")
 
 
 def cuts(text: str) -> list[int]:
@@ -40,13 +45,13 @@ def cuts(text: str) -> list[int]:
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     mixed = (codes + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n, np.uint64)  # rolled[i]: of the WINDOW characters before i
-    for back in range(1, WINDOW + 1):
-        rolled[back:] = rolled[back:] + mixed[: n - back] * np.uint64(pow(0x100000001B3, back, 1 << 64))
     space = (codes == 32) | (codes == 10) | (codes == 13) | (codes == 9)
-    before = np.r_[True, space[:-1]]
-    places = np.flatnonzero(space & ~before)  # about one in six characters
-    places = places[(rolled[places] >> np.uint64(32)) % np.uint64(USUAL // 6) == 0]
+    places = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # about one in six characters
+    places = places[places >= LEAST]
+    up, down = _powers(1 << (n - 1).bit_length())
+    total = np.cumsum(mixed * up[:n])  # total[i - 1]: of the first i characters
+    rolled = (total[places - 1] - total[places - 1 - WINDOW]) * down[places]  # of the WINDOW characters before
+    places = places[(rolled >> np.uint64(32)) % np.uint64(USUAL // 6) == 0]
     ends, at = [], 0
     for p in places.tolist():
         while p - at > GREATEST:
@@ -61,6 +66,14 @@ def cuts(text: str) -> list[int]:
     return [*ends, n] if at < n else ends
 
 
+@lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the rolling hash's base and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    both = (np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    return tuple(np.r_[np.uint64(1), np.cumprod(x)[:-1]] for x in both)
+
+
 @cache
 def _tokenizer(folder: str, vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,6 +84,15 @@ def _tokenizer(folder: str, vocabulary: str):
     return tokenizer
 
 
+@cache
+def _ranked(folder: str, vocabulary: str):
+    """The same vocabulary in a faster library, which knows no pieces."""
+    import tiktoken
+
+    table, _ = _token_bytes(folder, vocabulary)
+    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(table) if t}, special_tokens={})
+
+
 @cache
 def _token_bytes(folder: str, vocabulary: str) -> tuple[list[bytes], np.ndarray]:
     with open(f"{folder}/{vocabulary}.tiktoken", "rb") as lines:
@@ -85,7 +107,7 @@ class Encoder:
     """Marked encoding and exact joining of chunks with one vocabulary."""
 
     def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> None:
-        self.tokenizer = _tokenizer(folder, vocabulary)
+        self.tokenizer, self.ranked = _tokenizer(folder, vocabulary), _ranked(folder, vocabulary)
         self.table, self.lengths = _token_bytes(folder, vocabulary)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -99,6 +121,14 @@ class Encoder:
             out.append(ids)
         return out
 
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids per text, without marks."""
+        hard = [i for i, t in enumerate(texts) if _BLANKS.search(t)]
+        out = [None if i in hard else np.array(self.ranked.encode_ordinary(t), np.int32) for i, t in enumerate(texts)]
+        for i, ids in zip(hard, self.encode([texts[i] for i in hard]) if hard else [], strict=True):
+            out[i] = ids & (START - 1)
+        return out
+
     def _bytes(self, tokens: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, (tokens & (START - 1)).tolist()))
 
@@ -164,15 +194,15 @@ class Encoder:
 
 
 def _cut(texts: bool):
-    """Batches of (doc_id, text) to chunks: (doc_id, text_key, seq, key) with or without the chunk's text."""
+    """Batches of (doc_id, own, text) to chunks: (key, chunk), or (doc_id, own, seq, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, owns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             held = 0
-            for doc, whole in zip(ids, text, strict=True):
-                own, at = xxhash.xxh3_64_intdigest(whole) - (1 << 63), 0
+            for doc, own, whole in zip(ids, owns, batch.column(2), strict=True):
+                whole, at = whole.as_py(), 0
                 for seq, end in enumerate(cuts(whole)):
                     chunk = whole[at:end]
                     at = end
@@ -193,6 +223,27 @@ def _rows(rows: list[tuple], texts: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _encode_whole(folder: str, vocabulary: str):
+    """(doc_id, text) to (doc_id, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(folder, vocabulary)
+        for batch in batches:
+            at = 0
+            while at < len(batch):  # a few megabytes of text at once
+                upto, size = at, 0
+                while upto < len(batch) and size < 4_000_000:
+                    size += len(batch.column(1)[upto].as_py())
+                    upto += 1
+                part = batch.slice(at, upto - at)
+                ids = encoder.whole(part.column(1).to_pylist())
+                lens = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
+                at = upto
+
+    return run
+
+
 def _encode(folder: str, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(folder, vocabulary)
@@ -235,14 +286,19 @@ def encoded_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: s
     doc_id they are left out. folder and vocabulary name the tokenizer's files, present on every machine.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    full = docs.where("text <> ''")
-    chunks = full.mapInArrow(_cut(True), "key binary, chunk string").groupBy("key", "chunk").agg(F.count("*").alias("uses"))
+    full = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("own"), "text")
+    places = stored(full.mapInArrow(_cut(False), "doc_id long, own long, seq int, key binary"), "places")
+    uses = stored(places.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1"), "uses")
+    # Documents with a chunk that stands elsewhere too; rows with several keep one.
+    sharing = stored(salted_join(places, uses.select("key"), ["key"], uses, "uses", F.xxhash64("doc_id", "seq")).select("doc_id", "own").distinct(), "sharing")
+    known = maybe_broadcast(sharing)
+    alone = full.join(known, ["doc_id", "own"], "left_anti").select("doc_id", "text").mapInArrow(_encode_whole(folder, vocabulary), "doc_id long, ids array<int>")
+    chunks = full.join(known, ["doc_id", "own"], "left_semi").mapInArrow(_cut(True), "key binary, chunk string").groupBy("key", "chunk").agg(F.count("*").alias("uses"))
     once = stored(chunks.select("key", "chunk", "uses").mapInArrow(_encode(folder, vocabulary), "key binary, uses long, ids array<int>"), "chunks")
-    places = full.mapInArrow(_cut(False), "doc_id long, own long, seq int, key binary")
-    met = salted_join(places, once.select("key", "ids"), ["key"], once.select("key", "uses"), "uses", F.xxhash64("doc_id"))
+    met = salted_join(places.join(known, ["doc_id", "own"], "left_semi"), once.select("key", "ids"), ["key"], once.select("key", "uses"), "uses", F.xxhash64("doc_id"))
     whole = met.groupBy("doc_id", "own").agg(F.collect_list(F.struct("seq", "ids")).alias("parts")).select("doc_id", "parts")
     blank = docs.where("text is null or text = ''").select("doc_id").distinct().select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return whole.mapInArrow(_assemble(folder, vocabulary), "doc_id long, ids array<int>").union(blank)
+    return alone.union(whole.mapInArrow(_assemble(folder, vocabulary), "doc_id long, ids array<int>")).union(blank)
 
 
 def p6_ids(spark, folder):

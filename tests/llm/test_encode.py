@@ -24,6 +24,18 @@ def test_joined_chunks_are_exact(pieces, places):
     assert encoder.join(encoder.encode(parts)).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.lists(st.sampled_from(PIECES), max_size=60).map("".join), st.text(max_size=200)))
+def test_whole_texts_are_exact(text):
+    encoder = C.Encoder()
+    assert encoder.whole([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_of_one_letter(encoder):
+    texts = [" " * 300_000 + "x", "x" * 200_000, "\n" * 100_000, "=" * 100_000, "a" + " \n" * 50_000 + "b", "日" * 50_000]
+    assert [x.tolist() for x in encoder.whole(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_pieces_without_white_space(encoder):
     text = "x" * 60_000 + "y z"
     ends = C.cuts(text)
