@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.plans.skew import maybe_broadcast
+from strataquery.plans.skew import BROADCAST_BYTES, input_bytes, maybe_broadcast, salted_join
 from strataquery.session import stored
 
 #: Words of a k-gram, and neighbouring k-grams of which one is kept.
@@ -26,7 +26,10 @@ K, WINDOW = 4, 2
 LEAST_WORDS, CHANGED, SKIP = 15, 1 / 7, 4
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
+#: A tag with its attributes, of any length. What stands in `<>` right behind a word is a tag only if its name is one of HTML's (fixed values).
+_ATTRIBUTES = r"""(?:\s+[\w:.\-@#*()\[\]]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>"""
+_INLINE = r"(?:a|abbr|b|big|br|cite|code|del|div|em|font|h[1-6]|hr|i|img|ins|kbd|li|mark|ol|p|pre|q|s|samp|small|span|strike|strong|sub|sup|table|td|th|tr|tt|u|ul|var|wbr)"
+_TAG = re.compile(rf"</[A-Za-z][\w:.\-]*\s*>|(?<!\w)<[A-Za-z][\w:.\-]*{_ATTRIBUTES}|<{_INLINE}{_ATTRIBUTES}", re.I)
 _BASE = 0x100000001B3
 
 
@@ -153,6 +156,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "words", "changes"])
 
 
+def _met(found: DataFrame, asked: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Fingerprints of both sides joined; where the items' are too many to broadcast, hot ones are split over tasks."""
+    if input_bytes(asked) <= limit:
+        return found.join(F.broadcast(asked), "print")
+    found = stored(found, "found")
+    return salted_join(found, asked, ["print"], found.groupBy("print").agg(F.count("*").alias("n")), "n", F.xxhash64("doc_id"))
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, words, changes): documents with a passage of an item, whole or in part.
 
@@ -163,7 +174,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     shape = "id long, prints array<long>"
     asked = stored(questions.select("item_id", "item").mapInArrow(_prints, shape).select(F.col("id").alias("item_id"), F.explode("prints").alias("print")).distinct(), "asked")
     found = docs.mapInArrow(_prints, shape).select(F.col("id").alias("doc_id"), F.explode("prints").alias("print"))
-    hits = stored(found.join(maybe_broadcast(asked), "print").select("doc_id", "item_id").distinct(), "hits")
+    hits = stored(_met(found, asked).select("doc_id", "item_id").distinct(), "hits")
     pairs = docs.join(maybe_broadcast(hits), "doc_id").join(maybe_broadcast(questions), "item_id").select("doc_id", "text", "item_id", "item")
     return pairs.mapInArrow(_settle, "doc_id long, item_id long, words int, changes int").groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "changes")).alias("most")).select("doc_id", "item_id", "most.words", "most.changes")
 

@@ -62,3 +62,16 @@ def test_leaks(spark):
     df, asked = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as item"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "3 as doc_id")
     assert rows(L.leaks(df, asked), "doc_id", "item_id") == [(1, 10), (2, 10), (6, 10), (7, 10)]
     assert rows(L.leaks(df.where("false"), asked)) == rows(L.leaks(df, asked.where("false"))) == []
+
+
+def test_words_of_generics_stay_and_long_tags_go():
+    assert L.words("List<string> a<b>c</b> Map<Key, Value>") == ["list", "string", "a", "c", "map", "key", "value"]
+    assert L.words('x <a href="' + "y/" * 500 + '" title=\'z w\'>link</a> y') == ["x", "link", "y"]
+    assert L.words("for (i<n; i++) keep these words -> end") == ["for", "i", "n", "i", "keep", "these", "words", "end"]
+    assert len(L.words("<a b " * 20_000)) == 40_000 and len(L.words('<a b="' * 20_000)) >= 1
+
+
+def test_hot_prints_are_split(spark):
+    found = spark.createDataFrame([(i, 7) for i in range(300)] + [(1, 8)], "doc_id long, print long")
+    asked = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (3, 9)], "item_id long, print long")
+    assert rows(L._met(found, asked, 0), "doc_id", "item_id") == rows(L._met(found, asked), "doc_id", "item_id")
