@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import TOKEN, normal_stem, stem, trigrams
-from strataquery.operators.index import file_lines, trigram_index, vocabulary
+from strataquery.operators.index import ContentIndex, file_lines, narrowed, trigram_index
+from strataquery.session import stored
 
+#: Terms below this length match so many tokens that a warning goes with the result (fixed value).
+BROAD = 4
+#: A prefilter that keeps more than this share of the files is not worth its pass (fixed value).
+WORTH = 0.5
 #: Added to a term's frequency where the file's name is the term (fixed value).
 STEM_BONUS = 0.02
 
@@ -60,33 +65,36 @@ def tf_idf(tf: Column, count: Column, files: Column, df: Column, bonus: Column |
     return (share if bonus is None else share + bonus) * F.ln(files / df)
 
 
-def smoothed_tf_idf(tf: Column, count: Column, files: Column, df: Column, average: Column) -> Column:
-    """Log-frequency over relative length, times a smoothed inverse document frequency."""
-    return (1 + F.ln(tf)) / (count / average) * (F.ln((files + 1) / (df + 1)) + 1)
+def smoothed_tf_idf(tf: Column, count: Column, files: Column, df: Column, average: Column, bonus: Column | None = None) -> Column:
+    """(log-frequency over the log of the file's length, both relative to an average file, + bonus) * smoothed inverse document frequency."""
+    share = F.log1p(tf) / F.log1p(F.greatest(count, F.lit(1))) / (F.log1p(F.lit(1.0)) / F.log1p(average)) / average
+    return (share if bonus is None else share + bonus) * (F.ln((files + 1) / (df + 1)) + 1)
 
 
-def bm25(tf: Column, count: Column, files: Column, df: Column, average: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+def bm25(tf: Column, count: Column, files: Column, df: Column, average: Column, bonus: Column | None = None, k1: float = 1.2, b: float = 0.75) -> Column:
+    """BM25 over an average file's length, and the bonus times the same inverse document frequency."""
     idf = F.ln(1 + F.greatest(files - df + 0.5, F.lit(0.0)) / (df + 0.5))
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * count / average)) / average
+    value = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest(count, F.lit(1)) / average)) / average
+    return value if bonus is None else value + bonus * idf
 
 
-def scored(index: DataFrame, found: DataFrame, files: DataFrame, counts: DataFrame, score: str = "tf_idf", bonus_term: str | None = None) -> DataFrame:
+def stem_bonus(terms: list[str], mode: str = "token") -> Column | None:
+    """STEM_BONUS for files whose name is the term, in searches for one token as it is; None for all others."""
+    distinct = {t.lower() for t in terms}
+    if mode != "token" or len(distinct) != 1:
+        return None
+    return F.when(normal_stem(stem(F.col("path"))) == re.sub(r"[\W_]", "", distinct.pop()), STEM_BONUS).otherwise(0.0)
+
+
+def scored(index: ContentIndex, found: DataFrame, score: str = "tf_idf", bonus: Column | None = None) -> DataFrame:
     """(file_id, path, score, occurrences, terms_matched) of the files with tokens of found (term_idx, token).
 
-    files has (file_id, path) and is the whole index; counts has (file_id, token_count). An expansion
-    may be as large as the vocabulary, so it is broadcast only if it turns out small at run time.
-    Scores are rounded to 9 places and tie by path.
+    Scores use the whole index for the number of files and document frequencies, are rounded to 9 places
+    and tie by path.
     """
-    n_files = files.agg(F.count("*")).scalar()
-    df = index.join(found, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    hits = index.join(found.join(df, "token"), "token").join(counts, "file_id").join(files, "file_id")
-    n, tf, c, d = n_files, F.col("tf"), F.col("token_count"), F.col("df")
-    if score == "tf_idf":
-        bonus = F.when(normal_stem(stem(F.col("path"))) == re.sub(r"[\W_]", "", bonus_term.lower()), STEM_BONUS).otherwise(0.0) if bonus_term else None
-        value = tf_idf(tf, c, n, d, bonus)
-    else:
-        average = counts.agg(F.avg("token_count")).scalar()
-        value = bm25(tf, c, n, d, average) if score == "bm25" else smoothed_tf_idf(tf, c, n, d, average)
+    hits = narrowed(index.postings, found).join(index.listed, "file_id")
+    tf, c, n, d, average = F.col("tf"), F.col("token_count"), F.lit(index.n_files), F.col("df"), F.lit(index.average)
+    value = {"tf_idf": lambda: tf_idf(tf, c, n, d, bonus), "smoothed": lambda: smoothed_tf_idf(tf, c, n, d, average, bonus), "bm25": lambda: bm25(tf, c, n, d, average, bonus)}[score]()
     return hits.groupBy("file_id", "path").agg(F.round(F.sum(value), 9).alias("score"), F.sum("tf").alias("occurrences"), F.count_distinct("term_idx").alias("terms_matched"))
 
 
@@ -96,13 +104,24 @@ def all_terms(result: DataFrame, n: int) -> DataFrame:
 
 
 def page(result: DataFrame, order: list[Column], size: int, offset: int = 0) -> DataFrame:
-    """Rows offset + 1 to offset + size in order, with their rank; size 0 means all. An offset behind the end is an error."""
-    if offset and offset > result.count():
+    """Rows offset + 1 to offset + size in order, with their rank; size 0 means all. An offset behind the end is an error.
+
+    A page behind the first is read at once, with the row before it, whose absence shows an offset behind the end.
+    """
+    rank = F.row_number().over(Window.orderBy(*order)).cast("long")  # over the page alone, which is as small as asked for
+    if not offset:
+        return (result.orderBy(*order).limit(size) if size else result).withColumn("rank", rank)
+    ordered = result.orderBy(*order).offset(offset - 1)
+    shown = (ordered.limit(size + 1) if size else ordered).withColumn("rank", rank + (offset - 1))
+    if not size:
+        shown = stored(shown, "page")
+        if shown.isEmpty():
+            raise ValueError("the offset lies behind the last result")
+        return shown.where(F.col("rank") > offset)
+    found = shown.collect()  # size + 1 rows at most
+    if not found:
         raise ValueError("the offset lies behind the last result")
-    ordered = result.orderBy(*order).offset(offset)
-    ordered = ordered.limit(size) if size else ordered
-    # The page is as small as asked for; ranks are counted on it alone.
-    return ordered.withColumn("rank", (F.row_number().over(Window.orderBy(*order)) + offset).cast("long"))
+    return result.sparkSession.createDataFrame([r for r in found if r["rank"] > offset], shown.schema)
 
 
 def best(result: DataFrame, size: int, offset: int = 0) -> DataFrame:
@@ -208,6 +227,96 @@ def is_plain(term: str) -> bool:
     return bool(re.fullmatch(TOKEN.replace(r"\p{IsAlphabetic}\p{N}_", r"\w"), term))
 
 
+def split_terms(terms: list[str], every: bool = False) -> tuple[list[str], list[str]]:
+    """(tokens, phrases) of a request: a term with other characters than a token's is a phrase.
+
+    If there are both, a file matches by any of them; asking for all is an error.
+    """
+    plain, phrases = [t for t in terms if is_plain(t)], [t for t in terms if not is_plain(t)]
+    if plain and phrases and every:
+        raise ValueError("tokens and phrases together cannot all be asked for; search for one kind at a time")
+    return plain, phrases
+
+
+def inverted(scope: DataFrame, hits: DataFrame, scoped: bool, count_only: bool = False) -> DataFrame:
+    """Files of an explicit scope without a hit. A request without a scope, or for counts only, is an error."""
+    if not scoped:
+        raise ValueError("files without a match are listed within a scope only: give a folder, an extension or names of files")
+    if count_only:
+        raise ValueError("files without a match are listed, not counted")
+    return without(scope, hits)
+
+
+def broad_terms(vocab: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_tokens, broad): tokens that contain a term, and whether it is so short that a warning is due."""
+    counts = containing(vocab, terms).groupBy("term_idx").agg(F.count("*").alias("n_tokens"))
+    return terms.join(counts, "term_idx", "left").select("term", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), (F.char_length("term") < BROAD).alias("broad"))
+
+
+def mixed(index: ContentIndex, files: DataFrame, terms: list[str]) -> DataFrame:
+    """(file_id, score, occurrences) of files with any of the tokens or phrases; a phrase scores max(ln(N / files), 1) per occurrence."""
+    plain, phrases = split_terms(terms)
+    n = F.lit(index.n_files)
+    parts = []
+    if plain:
+        hits = narrowed(index.postings, exact(index.postings, term_table(files.sparkSession, plain)))
+        parts.append(hits.select("file_id", tf_idf(F.col("tf"), F.col("token_count"), n, F.col("df")).alias("score"), F.col("tf").alias("occ")))
+    if phrases:
+        found = stored(phrase_lines(files, phrases).groupBy("phrase_idx", "file_id").agg(F.count("*").alias("occ")), "phrases")
+        df = F.broadcast(found.groupBy("phrase_idx").agg(F.count("*").alias("df")))  # one row per phrase
+        parts.append(found.join(df, "phrase_idx").select("file_id", (F.greatest(F.ln(n / F.col("df")), F.lit(1.0)) * F.col("occ")).alias("score"), "occ"))
+    rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return rows.groupBy("file_id").agg(F.round(F.sum("score"), 9).alias("score"), F.sum("occ").alias("occurrences"))
+
+
+def by_occurrences(found: DataFrame, size: int, offset: int = 0) -> DataFrame:
+    """Files of a phrase or line pattern search, most occurrences first, ties by path."""
+    return page(found, [F.desc("occurrences"), F.asc("path")], size, offset)
+
+
+def candidates(files: DataFrame, patterns: list[str], every: bool = False) -> DataFrame:
+    """Files that can match any (every) of the patterns, by the literals their texts must hold.
+
+    All files if a pattern of an any-search has no literal, or if more than WORTH of them are left.
+    """
+    tests = []
+    for pattern in patterns:
+        parts = literals(pattern)
+        test = F.lit(True) if parts else None
+        for part in parts:
+            test &= F.contains("text", F.lit(part))
+        tests.append(test)
+    known = [t for t in tests if t is not None]
+    if not known or (not every and len(known) < len(tests)):
+        return files
+    test = known[0]
+    for other in known[1:]:
+        test = test & other if every else test | other
+    share = files.agg(F.avg(F.coalesce(test, F.lit(False)).cast("int"))).first()[0]
+    return files if share is None or share > WORTH else files.where(test)
+
+
+def shaped(ranked: DataFrame, budget: int, steps: tuple[int, ...] = (10, 3, 1)) -> DataFrame:
+    """(rank, path, n_lines, n_tokens, bytes): a ranked result (rank, path, lines, tokens) cut to a budget of bytes.
+
+    Phase by phase, as far as needed: lines per file down to the steps, then tokens per file down to the
+    last step, then whole files from the end. A row costs its path, 8 bytes a line and its tokens with 3
+    bytes each. The result is as small as a page, and so is every frame here.
+    """
+    cost = lambda lines, tokens: F.octet_length("path") + 8 * F.size(lines) + F.aggregate(tokens, F.lit(0), lambda a, t: a + F.octet_length(t) + 3)
+    phases = [(F.col("lines"), F.col("tokens"))] + [(F.slice("lines", 1, n), F.col("tokens")) for n in steps] + [(F.slice("lines", 1, steps[-1]), F.slice("tokens", 1, steps[-1]))]
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = ranked
+    for i, phase in enumerate(phases):
+        rows = rows.withColumn(f"__all{i}", F.sum(cost(*phase)).over(every))
+    choice = F.coalesce(*[F.when(F.col(f"__all{i}") <= budget, F.lit(i)) for i in range(len(phases))], F.lit(len(phases) - 1))
+    rows = rows.withColumn("__phase", choice)
+    pick = lambda k: F.coalesce(*[F.when(F.col("__phase") == i, phase[k]) for i, phase in enumerate(phases)])
+    cut = rows.select("rank", "path", pick(0).alias("lines"), pick(1).alias("tokens"))
+    used = F.sum(cost(F.col("lines"), F.col("tokens"))).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.select("rank", "path", F.size("lines").alias("n_lines"), F.size("tokens").alias("n_tokens"), used.cast("long").alias("bytes")).where(F.col("bytes") <= budget)
+
+
 def coverage(files: DataFrame, indexed: DataFrame, scope: Column, ext: Column) -> DataFrame:
     """One row: files in scope, those in the index, those not, and the extensions of these."""
     flagged = files.where(scope).join(indexed.select("file_id").distinct().withColumn("known", F.lit(True)), "file_id", "left")

@@ -13,7 +13,7 @@ from strataquery.functions.parsers import parsed
 from strataquery.operators import graph as G
 from strataquery.operators import index as I
 from strataquery.operators import symbols as Y
-from strataquery.plans.content import _DOCS, _documents, _index
+from strataquery.plans.content import _DOCS, _documents, _index, _prepared
 from strataquery.plans.symbol import _METHOD, _defs
 from strataquery.sources.tables import table
 
@@ -110,7 +110,7 @@ def zero_hints(spark, folder):
     """For names without results: the nearest name, and files whose text has the name as a token."""
     asked = spark.createDataFrame([("CacheRaeder",), ("return",), ("qqqqq",)], "asked string")
     near = Y.corrected(_defs(spark, folder, "def_id", "name"), asked).select("asked", F.lit("nearest name").alias("hint"), F.col("name").alias("value"))
-    vocab = I.vocabulary(_index(spark, folder))
+    vocab = _prepared(spark, folder).vocabulary
     content = vocab.join(F.broadcast(asked), F.col("token") == F.lower("asked")).select("asked", F.lit("in text only").alias("hint"), F.col("df").cast("string").alias("value"))
     return near.union(content)
 
@@ -118,7 +118,7 @@ def zero_hints(spark, folder):
 def caller_popularity(spark, folder):
     """Occurrences of each method's name in all texts; callers are ranked by it, tests last."""
     methods = table(spark, folder, "definitions", "def_id", "name", "kind", "attributes").where("kind = 'method' and def_id is not null").dropDuplicates(["def_id"])
-    vocab = I.vocabulary(_index(spark, folder))
+    vocab = _prepared(spark, folder).vocabulary
     return methods.join(vocab, F.lower("name") == F.col("token"), "left").select("def_id", Y.has_attribute("TestMethod").alias("is_test"), F.coalesce("total", F.lit(0)).alias("popularity"))
 
 

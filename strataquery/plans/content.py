@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from strataquery.functions import text as X
 from strataquery.operators import index as I
 from strataquery.operators import search as S
+from strataquery.plans.skew import salted_join
+from strataquery.sources import store
 from strataquery.sources.tables import spread, table
 
 # ---- inputs -------------------------------------------------------------------------------------
@@ -16,12 +18,25 @@ def _documents(spark, folder):
     return spread(table(spark, folder, "documents", F.col("doc_id").alias("file_id"), "text", F.coalesce("path", F.concat(F.lit("none/"), "doc_id")).alias("path")))
 
 
+def _prepared(spark, folder):
+    """The content index of the folder's postings and files, built when they are first searched or have changed."""
+    rows, files = table(spark, folder, "postings", "token", "file_id", "lines"), table(spark, folder, "file_stats", "file_id", "path")
+    return I.content_index(spark, "postings", [f"{folder}/postings.parquet", f"{folder}/file_stats.parquet"], rows, files)
+
+
+def _prepared_documents(spark, folder):
+    """The content index built from the texts themselves."""
+    docs = _documents(spark, folder)
+    rows = I.postings(docs).select("token", "file_id", "lines")
+    return I.content_index(spark, "texts", [f"{folder}/documents.parquet"], rows, docs.select("file_id", "path"))
+
+
 def _index(spark, folder):
-    return I.stored_postings(table(spark, folder, "postings", "token", "file_id", "lines"))
+    return _prepared(spark, folder).postings.select("token", "file_id", "tf")
 
 
 def _files(spark, folder):
-    return table(spark, folder, "file_stats", "file_id", "path").where("file_id is not null").groupBy("file_id").agg(F.min("path").alias("path"))
+    return _prepared(spark, folder).listed
 
 
 _IDX = """WITH kept AS (SELECT DISTINCT lower(token) AS token, file_id, lines FROM postings WHERE token IS NOT NULL AND file_id IS NOT NULL AND len(lines) > 0),
@@ -57,7 +72,7 @@ def index_totals(spark, folder):
 
 
 def token_df(spark, folder):
-    return I.vocabulary(_index(spark, folder))
+    return _prepared(spark, folder).vocabulary
 
 
 def reverse_index(spark, folder):
@@ -65,7 +80,7 @@ def reverse_index(spark, folder):
 
 
 def trigram_build(spark, folder):
-    return I.trigram_index(I.vocabulary(_index(spark, folder))).groupBy("trigram").agg(F.count("*").alias("n_tokens"))
+    return I.trigram_index(_prepared(spark, folder).vocabulary).groupBy("trigram").agg(F.count("*").alias("n_tokens"))
 
 
 def file_stems(spark, folder):
@@ -76,16 +91,17 @@ def file_stems(spark, folder):
 
 
 def _search(spark, folder, found, **options):
-    index = _index(spark, folder)
-    return S.scored(index, found(index), _files(spark, folder), I.token_counts(index), **options)
+    index = _prepared(spark, folder)
+    return S.scored(index, found(index), **options)
 
 
 def _exact(spark, terms):
-    return lambda index: S.exact(index, S.term_table(spark, terms))
+    return lambda index: S.exact(index.postings, S.term_table(spark, terms))
 
 
 def tfidf_single(spark, folder):
-    return S.best(_search(spark, folder, _exact(spark, ["cache"])), 50)
+    """One token: files whose name is the token get the bonus."""
+    return S.best(_search(spark, folder, _exact(spark, ["cache"]), bonus=S.stem_bonus(["cache"])), 50)
 
 
 def tfidf_multi_or(spark, folder):
@@ -97,60 +113,68 @@ def tfidf_multi_and(spark, folder):
 
 
 def stem_bonus(spark, folder):
-    """The file whose name is the term comes first; the term is the stem of the first file by path that is a token."""
-    return _search(spark, folder, _exact(spark, ["tile_bindings_g", "tile"]), bonus_term="tile")
+    """A search for one token, all files; the bonus is for files whose name is the token, and for searches of one token only."""
+    return _search(spark, folder, _exact(spark, ["Tile", "tile"]), bonus=S.stem_bonus(["Tile", "tile"]))
 
 
 def tfidf_smoothed(spark, folder):
-    return _search(spark, folder, _exact(spark, ["cache", "lease", "void"]), score="smoothed")
+    return _search(spark, folder, _exact(spark, ["cache", "lease", "void"]), score="smoothed", bonus=S.stem_bonus(["cache", "lease", "void"]))
+
+
+def tfidf_smoothed_single(spark, folder):
+    return _search(spark, folder, _exact(spark, ["tile"]), score="smoothed", bonus=S.stem_bonus(["tile"]))
 
 
 def bm25(spark, folder):
-    return _search(spark, folder, _exact(spark, ["cache", "lease", "void"]), score="bm25")
+    return _search(spark, folder, _exact(spark, ["cache", "lease", "void"]), score="bm25", bonus=S.stem_bonus(["cache", "lease", "void"]))
+
+
+def bm25_single(spark, folder):
+    return _search(spark, folder, _exact(spark, ["tile"]), score="bm25", bonus=S.stem_bonus(["tile"]))
 
 
 def substring_search(spark, folder):
-    return _search(spark, folder, lambda i: S.containing(I.vocabulary(i), S.term_table(spark, ["cach", "lea", "qu"])))
+    return _search(spark, folder, lambda i: S.containing(i.vocabulary, S.term_table(spark, ["cach", "lea", "qu"])))
 
 
 def trigram_search(spark, folder):
-    return _search(spark, folder, lambda i: S.containing_by_trigrams(I.vocabulary(i), S.term_table(spark, ["cach", "lea", "reserv"])))
+    return _search(spark, folder, lambda i: S.containing_by_trigrams(i.vocabulary, S.term_table(spark, ["cach", "lea", "reserv"])))
 
 
 def token_regex(spark, folder):
-    return _search(spark, folder, lambda i: S.matching(I.vocabulary(i), ["re.*er", "un\\w+d|idle"]))
+    return _search(spark, folder, lambda i: S.matching(i.vocabulary, ["re.*er", "un\\w+d|idle"]))
 
 
 def token_regex_and(spark, folder):
-    return S.all_terms(_search(spark, folder, lambda i: S.matching(I.vocabulary(i), ["re.*", "\\w*[0-9]+"])), 2)
+    return S.all_terms(_search(spark, folder, lambda i: S.matching(i.vocabulary, ["re.*", "\\w*[0-9]+"])), 2)
 
 
 def count_only(spark, folder):
-    index = _index(spark, folder)
-    found = S.containing(I.vocabulary(index), S.term_table(spark, ["cache", "tile"]))
-    hits = index.join(found, "token").join(_files(spark, folder), "file_id")
+    index = _prepared(spark, folder)
+    hits = S.narrowed(index.postings, S.containing(index.vocabulary, S.term_table(spark, ["cache", "tile"]))).join(index.listed, "file_id")
     return hits.agg(F.count_distinct("file_id").alias("n_files"), F.sum("tf").alias("occurrences"))
 
 
+def broad_terms(spark, folder):
+    """Terms of a substring search with the tokens they reach, the too short ones marked."""
+    return S.broad_terms(_prepared(spark, folder).vocabulary, S.term_table(spark, ["ca", "cach", "qu", "zzzz"]))
+
+
 def files_only(spark, folder):
     return _search(spark, folder, _exact(spark, ["lease", "crane"])).select("path", "occurrences")
 
 
 def invert_match(spark, folder):
-    index = _index(spark, folder)
-    scope = _files(spark, folder).where(X.in_scope(F.col("path"), "src", extensions=["cs", "ts"]))
-    return S.without(scope, index.where(F.col("token") == "return"))
+    index = _prepared(spark, folder)
+    scope = index.listed.where(X.in_scope(F.col("path"), "src", extensions=["cs", "ts"]))
+    return S.inverted(scope, index.postings.where(F.col("token") == "return"), scoped=True)
 
 
 def auto_balance(spark, folder):
-    index = _index(spark, folder)
-    found = S.exact(index, S.term_table(spark, ["return", "palette", "no_such_token"]))
-    files = _files(spark, folder)
-    n_files = files.agg(F.count("*")).scalar()
-    df = F.broadcast(index.join(F.broadcast(found), "token").groupBy("token").agg(F.count("*").alias("df")))
-    hits = index.join(F.broadcast(found), "token").join(df, "token").join(I.token_counts(index), "file_id").join(files, "file_id")
-    per_term = hits.select("file_id", "path", "term_idx", F.col("tf").alias("occ"), S.tf_idf(F.col("tf"), F.col("token_count"), n_files, F.col("df")).alias("score"))
-    return S.auto_balance(per_term)
+    index = _prepared(spark, folder)
+    hits = S.narrowed(index.postings, S.exact(index.postings, S.term_table(spark, ["return", "palette", "no_such_token"]))).join(index.listed, "file_id")
+    score = S.tf_idf(F.col("tf"), F.col("token_count"), F.lit(index.n_files), F.col("df"))
+    return S.auto_balance(hits.select("file_id", "path", "term_idx", F.col("tf").alias("occ"), score.alias("score")))
 
 
 def scope_filters(spark, folder):
@@ -160,25 +184,43 @@ def scope_filters(spark, folder):
 
 def scope_coverage(spark, folder):
     path = F.col("path")
-    return S.coverage(_files(spark, folder), _index(spark, folder), X.in_scope(path, "src"), X.extension(path))
+    return S.coverage(_files(spark, folder), _prepared(spark, folder).counts, X.in_scope(path, "src"), X.extension(path))
 
 
 def page_offset(spark, folder):
     return S.best(_search(spark, folder, _exact(spark, ["string", "void"])), 15, 10)
 
 
+def page_token(spark, folder):
+    """The second page of ten by the token of the first; the token holds as long as request and index stay the same."""
+    request, index = {"terms": ["string", "void"], "size": 10}, _prepared(spark, folder)
+    epoch = index.total_tokens  # changes with the index
+    token = store.page_token(epoch, 10, request)
+    return S.best(_search(spark, folder, _exact(spark, request["terms"])), request["size"], store.page_from(token, epoch, request))
+
+
 def logged_queries(spark, folder):
     """All logged requests scored again at once: query_id, file, score, occurrences, terms matched."""
     asked = table(spark, folder, "file_scores", "query_id", "terms").where("query_id is not null").distinct()
     terms = asked.select("query_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("token"))
-    index = _index(spark, folder)
-    vocab, files = I.vocabulary(index), _files(spark, folder)
-    n_files = files.agg(F.count("*")).scalar()
-    hits = index.join(terms.join(vocab, "token"), "token").join(I.token_counts(index), "file_id").join(files, "file_id")
-    value = S.tf_idf(F.col("tf"), F.col("token_count"), n_files, F.col("df"))
+    index = _prepared(spark, folder)
+    # A stop word is in many requests and in many files: its postings are split, its requests repeated.
+    sizes = index.vocabulary.select("token", F.col("df").alias("n"))
+    hits = salted_join(index.postings, terms, ["token"], sizes, "n", F.xxhash64("file_id")).join(index.listed, "file_id")
+    value = S.tf_idf(F.col("tf"), F.col("token_count"), F.lit(index.n_files), F.col("df"))
     return hits.groupBy("query_id", "file_id").agg(F.round(F.sum(value), 9).alias("score"), F.sum("tf").alias("occurrences"), F.count("*").alias("terms_matched"))
 
 
+def response_shape(spark, folder):
+    """A result with its lines and tokens cut to two budgets, lines first, then tokens, then files."""
+    wanted = ["return", "string", "cache"]
+    rows = table(spark, folder, "postings", "token", "file_id", "lines").where("file_id is not null and size(lines) > 0").where(F.lower("token").isin(wanted))
+    per_file = rows.groupBy("file_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"), F.sort_array(F.collect_set(F.lower("token"))).alias("tokens"))
+    top = S.page(per_file.join(_files(spark, folder), "file_id"), [F.desc(F.size("lines")), F.asc("path")], 40)
+    parts = [S.shaped(top, budget).withColumn("budget", F.lit(budget)) for budget in (16384, 1200)]
+    return parts[0].union(parts[1])
+
+
 def response_budget(spark, folder):
     """Ranked files as long as their paths fit into 2 KiB together."""
     from pyspark.sql import Window
@@ -204,21 +246,26 @@ def phrase_and(spark, folder):
 
 
 def mixed_terms(spark, folder):
-    """Plain terms are tokens, others phrases; a phrase scores max(ln(N / files), 1) per occurrence."""
+    """Plain terms are tokens, others phrases; any of them matches."""
+    return S.mixed(_prepared_documents(spark, folder), _documents(spark, folder), ["gauge", "known gap", "foo-bar", "lexer"])
+
+
+def auto_phrase(spark, folder):
+    """A request of phrases only, by the same planner."""
+    return S.mixed(_prepared_documents(spark, folder), _documents(spark, folder), ["the same", "throw new"])
+
+
+def phrase_rank(spark, folder):
+    """Files with a phrase, most occurrences first."""
+    docs = _documents(spark, folder)
+    found = S.per_file(S.phrase_lines(docs, ["the same"]), "phrase_idx").join(docs.select("file_id", "path"), "file_id")
+    return S.by_occurrences(found.select("file_id", "path", "occurrences"), 30)
+
+
+def regex_rank(spark, folder):
     docs = _documents(spark, folder)
-    terms = ["gauge", "known gap", "foo-bar", "lexer"]
-    plain, phrases = [t for t in terms if S.is_plain(t)], [t for t in terms if not S.is_plain(t)]
-    n_files = docs.agg(F.count("*")).scalar()
-    index = I.postings(docs).select("token", "file_id", "tf")
-    counts = I.token_counts(index)
-    found = F.broadcast(S.term_table(spark, plain).select(F.col("term").alias("token")))
-    hits = index.join(found, "token")
-    df = F.broadcast(hits.groupBy("token").agg(F.count("*").alias("df")))
-    by_token = hits.join(df, "token").join(counts, "file_id").select("file_id", S.tf_idf(F.col("tf"), F.col("token_count"), n_files, F.col("df")).alias("score"), F.col("tf").alias("occ"))
-    in_phrases = S.phrase_lines(docs, phrases).groupBy("phrase_idx", "file_id").agg(F.count("*").alias("occ"))
-    per_phrase = F.broadcast(in_phrases.groupBy("phrase_idx").agg(F.count("*").alias("df")))
-    by_phrase = in_phrases.join(per_phrase, "phrase_idx").select("file_id", (F.greatest(F.ln(n_files / F.col("df")), F.lit(1.0)) * F.col("occ")).alias("score"), "occ")
-    return by_token.union(by_phrase).groupBy("file_id").agg(F.round(F.sum("score"), 9).alias("score"), F.sum("occ").alias("occurrences"))
+    found = S.per_file(S.regex_lines(docs, [r"^\s*return .*;$", r"^using "]), "pattern_idx").join(docs.select("file_id", "path"), "file_id")
+    return S.by_occurrences(found.select("file_id", "path", "occurrences"), 30)
 
 
 def line_regex_or(spark, folder):
@@ -229,9 +276,23 @@ def line_regex_and(spark, folder):
     return S.per_file(S.regex_lines(_documents(spark, folder), [r"^using ", r"throw new \w+Exception"]), "pattern_idx", 2).select("file_id", F.size("lines").alias("n_lines"), "occurrences")
 
 
+_THROWS = [r"throw new \w+Exception\(.*\);", r"raiserror *\(|RAISERROR *\("]
+
+
 def literal_prefilter(spark, folder):
-    pattern = r"throw new \w+Exception\(.*\);"
-    return S.per_file(S.regex_lines(S.prefiltered(_documents(spark, folder), pattern), [pattern]), "pattern_idx").select("file_id", F.size("lines").alias("n_lines"), "occurrences")
+    return S.per_file(S.regex_lines(S.candidates(_documents(spark, folder), _THROWS[:1]), _THROWS[:1]), "pattern_idx").select("file_id", F.size("lines").alias("n_lines"), "occurrences")
+
+
+def literal_prefilter_or(spark, folder):
+    """Any of several patterns, after the literals they need."""
+    patterns = [_THROWS[0], r"Subscribe\(\w+", r"CREATE +TABLE"]
+    return S.per_file(S.regex_lines(S.candidates(_documents(spark, folder), patterns), patterns), "pattern_idx").select("file_id", F.size("lines").alias("n_lines"), "occurrences")
+
+
+def literal_prefilter_and(spark, folder):
+    """All of several patterns; one without literals restricts nothing beforehand."""
+    patterns = [_THROWS[0], r"using System", r"\d+"]
+    return S.per_file(S.regex_lines(S.candidates(_documents(spark, folder), patterns, every=True), patterns), "pattern_idx", 3).select("file_id", F.size("lines").alias("n_lines"), "occurrences")
 
 
 def line_invert(spark, folder):
@@ -261,7 +322,8 @@ def stale_lines(spark, folder):
 _NAMES = """tokenize_count postings_build index_totals token_df reverse_index trigram_build file_stems tfidf_single tfidf_multi_or tfidf_multi_and stem_bonus
 tfidf_smoothed bm25 substring_search trigram_search token_regex token_regex_and count_only files_only invert_match auto_balance scope_filters scope_coverage
 page_offset logged_queries response_budget phrase_search phrase_or phrase_and mixed_terms line_regex_or line_regex_and literal_prefilter line_invert
-context_islands context_before_after stale_lines""".split()
+context_islands context_before_after stale_lines tfidf_smoothed_single bm25_single broad_terms page_token response_shape auto_phrase phrase_rank regex_rank literal_prefilter_or
+literal_prefilter_and""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 # ---- SQL ----------------------------------------------------------------------------------------
@@ -284,10 +346,14 @@ def _like(*terms: str) -> str:
     return f"SELECT vocab.token, term_idx FROM vocab JOIN ({_terms(*terms)}) t ON contains(vocab.token, t.token)"
 
 
-_AVG = "(SELECT avg(token_count) FROM counts)"
 _N = "(SELECT count(*) FROM files)"
+_AVG = f"((SELECT sum(token_count) FROM counts) / {_N})"
 _PATH = "regexp_extract(path, '[^/]*$')"
 _STEM = f"regexp_replace({_PATH}, '(.)\\.[^.]*$', '\\1')"
+_BONUS = "CASE WHEN lower(regexp_replace(" + _STEM + ", '[^\\p{{L}}\\p{{N}}]', '', 'g')) = '{0}' THEN 0.02 ELSE 0 END"
+_IDF = f"(ln(({_N} + 1) / (df + 1)) + 1)"
+_SMOOTHED = f"(ln(1 + tf) / ln(1 + greatest(token_count, 1)) / (ln(2) / ln(1 + {_AVG})) / {_AVG} + {{0}}) * {_IDF}"
+_BM25 = f"ln(1 + greatest({_N} - df + 0.5, 0.0) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(token_count, 1) / {_AVG})) / {_AVG} + {{0}})"
 _RANKED = "SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM scored"
 _PHRASE = lambda *p: "(" + " OR ".join(f"contains(lower(line), '{x}')" for x in p) + ")"
 _GROUPS = """, wanted AS (SELECT file_id, line_no, max(is_hit) AS is_hit FROM (SELECT file_id, unnest(generate_series(hit - {0}, hit + {1})) AS line_no, hit FROM hits) s,
@@ -303,16 +369,33 @@ SQL = {
     "reverse_index": f"{_IDX} SELECT file_id, count(*) AS n_tokens, min(token) AS first_token, max(token) AS last_token FROM idx GROUP BY ALL",
     "trigram_build": f"{_IDX} SELECT trigram, count(*) AS n_tokens FROM (SELECT DISTINCT token, substr(token, i, 3) AS trigram FROM (SELECT token, unnest(generate_series(1, length(token) - 2)) AS i FROM df)) GROUP BY ALL",
     "file_stems": f"{_IDX} SELECT file_id, {_STEM} AS stem, lower(regexp_replace({_STEM}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS normal_stem, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM files",
-    "tfidf_single": f"{_scored(_terms('cache'))} SELECT * FROM ({_RANKED}) WHERE rank <= 50",
+    "tfidf_single": _scored(_terms("cache"), f"(tf / greatest(token_count, 1) + {_BONUS.format('cache')}) * ln({_N} / df)") + f"SELECT * FROM ({_RANKED}) WHERE rank <= 50",
     "tfidf_multi_or": f"{_scored(_terms('cache', 'lease', 'tile', 'return'))} SELECT * FROM scored",
     "tfidf_multi_and": f"{_scored(_terms('return', 'string', 'public'))} SELECT * FROM scored WHERE terms_matched = 3",
-    "stem_bonus": _scored(
-        _terms("tile_bindings_g", "tile"),
-        f"(tf / greatest(token_count, 1) + CASE WHEN lower(regexp_replace({_STEM}, '[^\\p{{L}}\\p{{N}}]', '', 'g')) = 'tile' THEN 0.02 ELSE 0 END) * ln({_N} / df)",
-    )
-    + "SELECT * FROM scored",
-    "tfidf_smoothed": _scored(_terms("cache", "lease", "void"), f"(1 + ln(tf)) / (token_count / {_AVG}) * (ln(({_N} + 1) / (df + 1)) + 1)") + "SELECT * FROM scored",
-    "bm25": _scored(_terms("cache", "lease", "void"), f"ln(1 + greatest({_N} - df + 0.5, 0.0) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * token_count / {_AVG})) / {_AVG}") + "SELECT * FROM scored",
+    "stem_bonus": _scored(_terms("tile"), f"(tf / greatest(token_count, 1) + {_BONUS.format('tile')}) * ln({_N} / df)") + "SELECT * FROM scored",
+    "tfidf_smoothed": _scored(_terms("cache", "lease", "void"), _SMOOTHED.format("0")) + "SELECT * FROM scored",
+    "tfidf_smoothed_single": _scored(_terms("tile"), _SMOOTHED.format(_BONUS.format("tile"))) + "SELECT * FROM scored",
+    "bm25": _scored(_terms("cache", "lease", "void"), _BM25.format("0")) + "SELECT * FROM scored",
+    "bm25_single": _scored(_terms("tile"), _BM25.format(_BONUS.format("tile"))) + "SELECT * FROM scored",
+    "broad_terms": f"{_IDX} SELECT term, count(token) AS n_tokens, length(term) < 4 AS broad FROM (VALUES ('ca'), ('cach'), ('qu'), ('zzzz')) t(term) LEFT JOIN df ON contains(token, term) GROUP BY term",
+    "page_token": f"{_scored(_terms('string', 'void'))} SELECT * FROM ({_RANKED}) WHERE rank > 10 AND rank <= 20",
+    "auto_phrase": f"""{_DOCS}, found AS (SELECT p, file_id, count(*) AS occ FROM lines JOIN (VALUES ('the same'), ('throw new')) v(p) ON contains(lower(line), p) GROUP BY ALL),
+phrases AS (SELECT file_id, greatest(ln((SELECT count(*) FROM docs) / count(*) OVER (PARTITION BY p)), 1.0) * occ AS score, occ FROM found)
+SELECT file_id, round(sum(score), 9) AS score, sum(occ)::BIGINT AS occurrences FROM phrases GROUP BY ALL""",
+    "phrase_rank": f"""{_DOCS} SELECT file_id, path, occurrences, row_number() OVER (ORDER BY occurrences DESC, path) AS rank FROM (SELECT file_id, path, count(*) AS occurrences FROM lines JOIN docs USING (file_id)
+    WHERE {_PHRASE('the same')} GROUP BY ALL) ORDER BY occurrences DESC, path LIMIT 30""",
+    "regex_rank": f"""{_DOCS} SELECT file_id, path, occurrences, row_number() OVER (ORDER BY occurrences DESC, path) AS rank FROM (SELECT file_id, path, count(*) AS occurrences FROM lines JOIN docs USING (file_id)
+    JOIN (VALUES ('^\\s*return .*;$'), ('^using ')) v(p) ON regexp_matches(line, p) GROUP BY ALL) ORDER BY occurrences DESC, path LIMIT 30""",
+    "literal_prefilter_or": f"{_DOCS} SELECT file_id, count(DISTINCT line_no)::INT AS n_lines, count(*) AS occurrences FROM lines JOIN (VALUES ('throw new \\w+Exception\\(.*\\);'), ('Subscribe\\(\\w+'), ('CREATE +TABLE')) v(p) ON regexp_matches(line, p) GROUP BY ALL",
+    "literal_prefilter_and": f"{_DOCS} SELECT file_id, count(DISTINCT line_no)::INT AS n_lines, count(*) AS occurrences FROM lines JOIN (VALUES ('throw new \\w+Exception\\(.*\\);'), ('using System'), ('\\d+')) v(p) ON regexp_matches(line, p) GROUP BY ALL HAVING count(DISTINCT p) = 3",
+    "response_shape": f"""{_IDX}, r AS (SELECT file_id, lower(token) AS token, lines FROM postings WHERE file_id IS NOT NULL AND len(lines) > 0 AND lower(token) IN ('return', 'string', 'cache')),
+per AS (SELECT file_id, list_sort(list_distinct(flatten(list(lines)))) AS lines, list_sort(list_distinct(list(token))) AS tokens FROM r GROUP BY ALL),
+top AS (SELECT path, lines, tokens, row_number() OVER (ORDER BY len(lines) DESC, path) AS rank FROM per JOIN files USING (file_id) QUALIFY rank <= 40),
+cuts AS (SELECT * FROM (VALUES (0, 1000000, 1000000), (1, 10, 1000000), (2, 3, 1000000), (3, 1, 1000000), (4, 1, 1)) v(phase, n, m)),
+shown AS (SELECT phase, rank, path, lines[:n] AS lines, tokens[:m] AS tokens FROM top, cuts),
+cost AS (SELECT *, strlen(path) + 8 * len(lines) + list_sum(list_transform(tokens, lambda t: strlen(t) + 3)) AS c FROM shown),
+picked AS (SELECT budget, coalesce(min(phase) FILTER (total <= budget), 4) AS phase FROM (SELECT phase, sum(c) AS total FROM cost GROUP BY ALL), (VALUES (16384), (1200)) b(budget) GROUP BY budget)
+SELECT * FROM (SELECT rank, path, len(lines)::INT AS n_lines, len(tokens)::INT AS n_tokens, (sum(c) OVER (PARTITION BY budget ORDER BY rank))::BIGINT AS bytes, budget FROM cost JOIN picked USING (phase)) WHERE bytes <= budget""",
     "substring_search": _scored(_like("cach", "lea", "qu")) + "SELECT * FROM scored",
     "trigram_search": _scored(_like("cach", "lea", "reserv")) + "SELECT * FROM scored",
     "token_regex": _scored("SELECT token, 0 AS term_idx FROM vocab WHERE regexp_full_match(token, 're.*er') UNION ALL SELECT token, 1 FROM vocab WHERE regexp_full_match(token, 'un\\w+d|idle')") + "SELECT * FROM scored",

@@ -10,7 +10,7 @@ from strataquery.operators import graph as G
 from strataquery.operators import index as I
 from strataquery.operators import symbols as Y
 from strataquery.operators.hierarchy import bare_name
-from strataquery.plans.content import _DOCS, _IDX, _documents, _files, _index
+from strataquery.plans.content import _DOCS, _IDX, _documents, _files, _index, _prepared
 from strataquery.sources.tables import table
 
 _COLUMNS = ("def_id", "file_id", "name", "kind", "line_start", "line_end", "parent", "attributes", "base_types")
@@ -119,7 +119,7 @@ def missing_terms(spark, folder):
 
 def usage_count(spark, folder):
     """Files whose text uses the name as a token."""
-    vocab = I.vocabulary(_index(spark, folder)).select(F.col("token"), "df")
+    vocab = _prepared(spark, folder).vocabulary.select(F.col("token"), "df")
     return _defs(spark, folder, "def_id", "name").join(vocab, F.lower("name") == F.col("token"), "left").select("def_id", F.coalesce("df", F.lit(0)).alias("usages"))
 
 
@@ -149,7 +149,7 @@ def value_source(spark, folder):
 
 def audit_empty(spark, folder):
     """Files with tokens but without definitions."""
-    counts = I.token_counts(_index(spark, folder)).where("token_count > 20")
+    counts = _prepared(spark, folder).counts.where("token_count > 20")
     return _files(spark, folder).join(counts, "file_id").join(_defs(spark, folder, "def_id", "file_id").select("file_id"), "file_id", "left_anti").select("file_id", "path", "token_count")
 
 

@@ -10,7 +10,7 @@ from strataquery.operators import graph as G
 from strataquery.operators import index as I
 from strataquery.operators import symbols as Y
 from strataquery.operators.hierarchy import bare_name
-from strataquery.plans.content import _DOCS, _IDX, _documents, _files, _index
+from strataquery.plans.content import _DOCS, _IDX, _documents, _files, _index, _prepared
 from strataquery.plans.symbol import _ATTR, _D, _F, _defs, _placed
 
 
@@ -34,7 +34,7 @@ def root_election(spark, folder):
 
 def class_scope(spark, folder):
     """Files that can hold callers of a class: those with the class, its I-form, or a longer token that holds its name."""
-    vocab = I.vocabulary(_index(spark, folder))
+    vocab = _prepared(spark, folder).vocabulary
     wanted = vocab.where(F.col("token").isin("planner", "iplanner") | (F.contains("token", F.lit("planner")) & (F.char_length("token") > 7))).select("token")
     return _index(spark, folder).join(wanted, "token", "left_semi").select("file_id").distinct()
 
@@ -105,7 +105,7 @@ def extension_methods(spark, folder):
 
 def vocabulary_growth(spark, folder):
     """Definition names that are no tokens of any text."""
-    vocab = I.vocabulary(_index(spark, folder)).select("token")
+    vocab = _prepared(spark, folder).vocabulary.select("token")
     names = _defs(spark, folder, "def_id", "name", "kind").select(F.lower("name").alias("token"), "kind").distinct()
     return names.join(vocab, "token", "left_anti").groupBy("kind").agg(F.count("*").alias("n_names"))
 

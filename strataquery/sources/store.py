@@ -5,11 +5,15 @@ from __future__ import annotations
 import base64
 import json
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataquery.functions.text import fnv1a
+from strataquery.session import scratch, shared_dir
 
 #: Files above this size are not read.
 LARGEST = 50 << 20
@@ -88,16 +92,16 @@ def orphans(metas: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Puts a small description in place by one rename, over an earlier one of that name."""
-    jvm = spark._jvm
-    target, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".staged"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.create(staged, True)
+    """Puts a small description in place by one rename that replaces an earlier one: readers see the old or the new, never none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.staged"))
+    stream = target.getFileSystem(conf).create(staged, True)
     stream.write(bytearray(json.dumps(value).encode()))
     stream.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot write {path}")
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(staged, target, options)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -114,6 +118,41 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
+def state_of(spark: SparkSession, *paths: str) -> str:
+    """A mark that changes when one of the files or folders does: bytes, number of files, time of change."""
+    parts = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            about = fs.getContentSummary(at)
+            parts.append(f"{path}|{about.getLength()}|{about.getFileCount()}|{fs.getFileStatus(at).getModificationTime()}")
+        else:
+            parts.append(f"{path}|")
+    return f"{fnv1a(chr(10).join(parts)):016x}"
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], tuple[dict[str, DataFrame], Callable[[dict[str, DataFrame]], dict]]]) -> tuple[dict[str, DataFrame], dict]:
+    """Tables built once per state of their source files, and the figures that belong to them.
+
+    build gives the tables and a function from the written tables to figures. A description in the shared folder
+    names where they lie and is put in place last, so a build that dies leaves nothing visible; one that runs
+    twice is read from whichever is described last. A changed source or another VERSION means a new build.
+    """
+    at = f"{shared_dir(spark)}/{name}-{state_of(spark, *sources)}.json"
+    about = read_json(spark, at)
+    if about is None or about["version"] != VERSION:
+        tables, figures = build()
+        folder = scratch(spark, name)
+        for label, df in tables.items():
+            df.write.option("compression", "zstd").parquet(f"{folder}/{label}")
+        written = {label: spark.read.schema(df.schema).parquet(f"{folder}/{label}") for label, df in tables.items()}
+        about = {"version": VERSION, "folder": folder, "sources": sources, "created": int(time.time()), "schemas": {label: df.schema.json() for label, df in tables.items()}, "figures": figures(written)}
+        write_json(spark, at, about)
+    schemas = {label: T.StructType.fromJson(json.loads(x)) for label, x in about["schemas"].items()}
+    return {label: spark.read.schema(x).parquet(f"{about['folder']}/{label}") for label, x in schemas.items()}, about["figures"]
+
+
 # ---- pages --------------------------------------------------------------------------------------
 
 

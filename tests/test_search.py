@@ -31,7 +31,7 @@ def test_stored_postings_merge_case_splits_and_repeats(spark):
 
 
 def search(spark, files, index, terms, **more):
-    return S.scored(index, S.exact(index, S.term_table(spark, terms)), files.select("file_id", "path"), I.token_counts(index), **more)
+    return S.scored(I.ContentIndex.over(index, files), S.exact(index, S.term_table(spark, terms)), **more)
 
 
 def test_tf_idf(spark, files, index):
@@ -47,7 +47,7 @@ def test_rarer_tokens_score_more(spark, files, index):
 
 
 def test_stem_bonus_and_other_scores(spark, files, index):
-    plain, bonus = (search(spark, files, index, ["cache"], **m).orderBy("file_id").collect() for m in ({}, {"bonus_term": "Cache"}))
+    plain, bonus = (search(spark, files, index, ["cache"], **m).orderBy("file_id").collect() for m in ({}, {"bonus": S.stem_bonus(["Cache"])}))
     assert bonus[0].score == pytest.approx(plain[0].score + 0.02 * math.log(5 / 2), abs=1e-9)
     assert bonus[1].score == plain[1].score
     for kind in ("bm25", "smoothed"):
