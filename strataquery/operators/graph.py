@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,39 +11,77 @@ from strataquery.session import stored
 
 #: Calls on these receivers resolve to nothing (fixed values).
 BUILTIN_RECEIVERS = (
-    "Promise Array Map Set Object String Number Boolean Date RegExp Error Symbol BigInt Function Math JSON Reflect Proxy Intl Int8Array Uint8Array Uint8ClampedArray Int16Array "
-    "Uint16Array Int32Array Uint32Array Float32Array Float64Array BigInt64Array BigUint64Array ArrayBuffer SharedArrayBuffer DataView WeakMap WeakSet WeakRef FinalizationRegistry "
-    "console window document globalThis navigator localStorage sessionStorage setTimeout setInterval fetch Iterator Generator AsyncGenerator AsyncIterator TypeError RangeError "
-    "ReferenceError SyntaxError URIError EvalError Task List Dictionary HashSet Queue Stack Console Convert Enum Guid Nullable Tuple ValueTuple Span Memory"
-).split()
-
-
-def reach(edges: DataFrame, roots: DataFrame, depth: int = 3, per_level: int | None = None, order: list[Column] | None = None, chains: bool = False, stop: Column | None = None) -> DataFrame:
+    "Promise", "Array", "Map", "Set", "Object", "String", "Number", "Boolean", "Date", "RegExp", "Error", "Symbol", "BigInt", "Function", "Math", "JSON", "Reflect", "Proxy",
+    "Intl", "Int8Array", "Uint8Array", "Uint8ClampedArray", "Int16Array", "Uint16Array", "Int32Array", "Uint32Array", "Float32Array", "Float64Array", "BigInt64Array",
+    "BigUint64Array", "ArrayBuffer", "SharedArrayBuffer", "DataView", "WeakMap", "WeakSet", "WeakRef", "FinalizationRegistry", "console", "window", "document", "globalThis",
+    "navigator", "localStorage", "sessionStorage", "setTimeout", "setInterval", "fetch", "Iterator", "Generator", "AsyncGenerator", "AsyncIterator", "TypeError", "RangeError",
+    "ReferenceError", "SyntaxError", "URIError", "EvalError", "Task", "List", "Dictionary", "HashSet", "Queue", "Stack", "Console", "Convert", "Enum", "Guid", "Nullable", "Tuple",
+    "ValueTuple", "Span", "Memory",
+)
+
+
+def reach(
+    edges: DataFrame,
+    roots: DataFrame,
+    depth: int | None = 3,
+    per_level: int | None = None,
+    order: list[Column] | None = None,
+    chains: bool = False,
+    stop: DataFrame | Column | None = None,
+    siblings: DataFrame | None = None,
+) -> DataFrame:
     """(root, node, depth[, chain]): nodes reached from roots (root, node) over edges (src, dst).
 
-    Breadth first, all roots at once; a node is taken once per root, at its least depth. per_level caps
-    the new nodes per root and level after ordering. stop ends a path at nodes for which it holds (over
-    `node`). Depth is bounded, so the plan is; every level is stored.
+    Breadth first, all roots at once; a node is taken once per root, at its least depth. depth None goes on
+    until nothing new is met. per_level caps the new nodes per root and level after ordering; nodes of stop
+    (node), or for which it holds, end a path and are exempt from the cap. siblings (node, group): with a node all nodes of its
+    groups are taken at the same depth. The edges are stored once, and every level is.
     """
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
     first = roots.select("root", "node", F.lit(0).alias("depth"), F.array(F.col("node").cast("string")).alias("chain"))
-    seen = frontier = stored(first if chains else first.drop("chain"), "level")
-    for level in range(1, depth + 1):
-        source = frontier if stop is None else frontier.where(~stop | (F.col("depth") == 0))
-        step = source.withColumnRenamed("node", "src").join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node"), F.lit(level).alias("depth"), *([F.concat("chain", F.array(F.col("dst").cast("string"))).alias("chain")] if chains else []))
+    first = first if chains else first.drop("chain")
+    levels = [frontier := stored(first.distinct() if siblings is None else _with_siblings(first, siblings, chains), "level")]
+    if stop is None:
+        ended = lambda rows: rows.withColumn("__end", F.lit(None).cast("boolean"))
+    elif isinstance(stop, Column):
+        ended = lambda rows: rows.withColumn("__end", F.when(stop, F.lit(True)))
+    else:
+        ends = stop.select("node").distinct().withColumn("__end", F.lit(True))
+        ended = lambda rows: rows.join(ends, "node", "left")
+    level = 0
+    while depth is None or level < depth:
+        level += 1
+        source = frontier if stop is None or level == 1 else ended(frontier).where("__end is null").select(*frontier.columns)
+        step = source.withColumnRenamed("node", "src").join(edges, "src").select("root", F.col("dst").alias("node"), F.lit(level).alias("depth"), *([F.concat("chain", F.array(F.col("dst").cast("string"))).alias("chain")] if chains else []))
         step = step.groupBy("root", "node", "depth").agg(F.min("chain").alias("chain")) if chains else step.distinct()
-        step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select(*seen.columns)
+        if siblings is not None:
+            step = _with_siblings(step, siblings, chains)
+        seen = functools.reduce(DataFrame.union, [x.select("root", "node") for x in levels])
+        step = step.join(seen, ["root", "node"], "left_anti").select(*frontier.columns)
         if per_level:
-            step = step.withColumn("__place", F.row_number().over(Window.partitionBy("root").orderBy(*(order or [F.col("node")])))).where(F.col("__place") <= per_level).drop("__place")
+            place = F.row_number().over(Window.partitionBy("root", "__end").orderBy(*(order or [F.col("node")])))
+            step = ended(step).withColumn("__place", place).where(F.col("__end").isNotNull() | (F.col("__place") <= per_level)).select(*frontier.columns)
         frontier = stored(step, "level")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+        levels.append(frontier)
+    return functools.reduce(DataFrame.union, levels)
+
+
+def _with_siblings(step: DataFrame, siblings: DataFrame, chains: bool) -> DataFrame:
+    """step with the other nodes of its nodes' groups, each once, at the same depth."""
+    step = stored(step, "step")
+    groups = step.join(siblings.select("node", "group"), "node").groupBy("root", "group").agg(F.min("depth").alias("depth"), *([F.min("chain").alias("chain")] if chains else []))
+    more = groups.join(siblings.select("group", F.col("node")), "group").select(*step.columns)
+    every = step.union(more).groupBy("root", "node").agg(F.min("depth").alias("depth"), *([F.min("chain").alias("chain")] if chains else []))
+    return every.select(*step.columns)
 
 
-def within_budget(tree: DataFrame, budget: int = 200) -> DataFrame:
-    """The first `budget` nodes of each root, breadth first."""
-    order = Window.partitionBy("root").orderBy("depth", "node")
+def within_budget(tree: DataFrame, budget: int = 200, shared: bool = False) -> DataFrame:
+    """The first `budget` nodes of each root, breadth first; shared: of all roots together, which take turns by depth."""
+    order = (Window.orderBy("depth", "node", "root") if shared else Window.partitionBy("root").orderBy("depth", "node"))
+    if shared:  # the window sees no more rows than the budget
+        tree = tree.orderBy("depth", "node", "root").limit(budget)
     return tree.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= budget).drop("__n")
 
 

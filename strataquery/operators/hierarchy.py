@@ -36,16 +36,26 @@ FOREST = (
 def bare_name(parent: Column) -> Column:
     """The holder's name without type arguments, qualifiers and blanks; null if nothing is left.
 
-    Type arguments may nest up to eight levels; an unclosed `<` cuts the rest.
+    Type arguments may nest to any depth; an unclosed `<` cuts the rest.
     """
-    text = parent
-    for _ in range(8):
-        text = F.regexp_replace(text, "<[^<>]*>", "")
-    text = F.when(F.contains(parent, F.lit("<")), F.substring_index(text, "<", 1)).otherwise(parent)  # few rows need a pattern
+    flat = F.regexp_replace(parent, "<[^<>]*>", "")  # few rows need a pattern, and fewer more than one
+    text = F.when(F.contains(parent, F.lit("<")), F.when(F.contains(flat, F.lit("<")), _outside(flat)).otherwise(flat)).otherwise(parent)
     text = F.substring_index(F.substring_index(text, "::", -1), ".", -1)
     return F.nullif(F.btrim(text, F.lit(" \t\r\n\f\v\u00a0")), F.lit(""))
 
 
+def _outside(text: Column) -> Column:
+    """The characters outside all angle brackets; a `>` that closes nothing stays."""
+
+    def step(acc: Column, part: Column) -> Column:
+        opens, closes = F.startswith(part, F.lit("<")), F.startswith(part, F.lit(">")) & (acc["depth"] > 0)
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        kept = F.when(depth > 0, F.lit("")).when(closes, F.substr(part, F.lit(2))).otherwise(part)
+        return F.struct(depth.alias("depth"), F.concat(acc["out"], kept).alias("out"))
+
+    return F.aggregate(F.split(text, "(?=[<>])"), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+
 def _holders(file: np.ndarray, name: pa.Array, ids: np.ndarray, parent: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row of each row's parent within a block, -1 without one; whether a row holds). Of equal names the smallest id holds."""
     import pandas as pd
@@ -251,8 +261,9 @@ def _doubled(nodes: DataFrame, label: str, until_stable: bool = False) -> DataFr
             return state.select("id", F.coalesce("last", "id").alias("last"), "dist", "size")
         gain = live.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))  # exactly 2^k below
         far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("last").alias("last2"), F.col("dist").alias("dist2"))
+        sizes = live.groupBy("ptr").agg(F.count("*").alias("n"))  # pointers end at few tops
         state = stored(
-            state.join(far, "ptr", "left")
+            salted_join(state, far, ["ptr"], sizes, "n", F.xxhash64("id"), how="left")
             .join(gain, "id", "left")
             .select(
                 "id",
@@ -292,18 +303,23 @@ def _large_forest(containers: DataFrame, with_paths: bool) -> DataFrame:
             break
         parts = step if parts is None else parts.union(step)
         cur = step.where("cur2 is not null").select("id", F.col("cur2").alias("cur"))
-    pairs = parts.select("id", "chain", F.col("pos").alias("upto")).join(tree.select("chain", "pos", F.col("id").alias("anc"), F.col("name").alias("anc_name"), F.col("depth").alias("anc_depth")), "chain").where("pos <= upto")
+    # A chain's or circle's rows meet all of its nodes: long ones are split, as what comes out is their square.
+    asked = stored(parts.select("id", "chain", F.col("pos").alias("upto")), "asked")
+    links = tree.select("chain", "pos", F.col("id").alias("anc"), F.col("name").alias("anc_name"), F.col("depth").alias("anc_depth"))
+    pairs = salted_join(asked, links, ["chain"], asked.groupBy("chain").agg(F.count("*").alias("n")), "n", F.xxhash64("id"), least=2_000).where("pos <= upto")
     ring = rings.select("circle", F.col("ring_id").alias("anc"))
-    around = tree.where("circle is not null").select("id", "circle", "top").join(ring, "circle").where("anc <> top").select("id", "anc")
+    rounds = tree.where("circle is not null").select("id", "circle", "top")
+    around = salted_join(rounds, ring, ["circle"], rounds.groupBy("circle").agg(F.count("*").alias("n")), "n", F.xxhash64("id"), least=2_000).where("anc <> top").select("id", "anc")
     paths = pairs.groupBy("id").agg(F.expr("concat_ws('/', transform(array_sort(collect_list(struct(anc_depth, anc_name))), x -> x.anc_name))").alias("path")) if with_paths else None
     around_n = tree.where("in_cycle").groupBy("circle").agg((F.sum("size") - 1).alias("ring_below"))
     out = tree.join(around_n, "circle", "left").withColumn("below", F.expr("if(in_cycle, ring_below, size - 1)"))
     out = out.join(paths, "id", "left") if with_paths else out.withColumn("path", F.lit(None).cast("string"))
-    every = pairs.select("id", "anc").union(around)
-    if with_paths:
-        every = every.groupBy("id").agg(F.collect_list("anc").alias("ancestors")).withColumn("part", F.lit(0))
-    else:
-        every = every.select("id", F.array("anc").alias("ancestors"), F.lit(0).alias("part"))
+    # Ancestors lie in rows of bounded length; those of circles, which have no order, behind the others. The root's row is part 0.
+    chained = pairs.select("id", "anc", F.floor(F.col("anc_depth") / ROW_ANCESTORS).cast("int").alias("part"))
+    size = rings.groupBy("circle").agg(F.count("*").alias("ring_size"))
+    ringed = around.join(rings.select(F.col("ring_id").alias("anc"), "circle"), "anc").join(size, "circle")
+    ringed = ringed.select("id", "anc", (-1 - F.pmod(F.xxhash64("anc"), F.ceil(F.col("ring_size") / ROW_ANCESTORS))).cast("int").alias("part"))
+    every = chained.union(ringed).groupBy("id", "part").agg(F.collect_list("anc").alias("ancestors"))
     return out.join(every, "id").withColumnRenamed("id", "def_id").select(*[c.split()[0] for c in FOREST.split(", ")])
 
 

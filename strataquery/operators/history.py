@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import clean
+from strataquery.session import stored
 
 SEPARATOR = "\x1e"
 
@@ -93,11 +94,15 @@ def activity(commits: DataFrame, touched: DataFrame, prefix: str = "") -> DataFr
 
 
 def ahead_behind(edges: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """One row: commits reachable from ours only and from theirs only; edges (src child, dst parent)."""
+    """One row: commits reachable from ours only and from theirs only; edges (src child, dst parent).
+
+    Both sides are walked to their ends, however far apart they are, in one breadth-first search.
+    """
     from strataquery.operators.graph import reach
 
-    a = reach(edges, ours.select(F.lit(0).alias("root"), "node"), depth=64).select("node").distinct()
-    b = reach(edges, theirs.select(F.lit(0).alias("root"), "node"), depth=64).select("node").distinct()
+    heads = ours.select(F.lit(0).alias("root"), "node").union(theirs.select(F.lit(1).alias("root"), "node"))
+    sides = stored(reach(edges, heads, depth=None).select("root", "node"), "sides")
+    a, b = (sides.where(F.col("root") == side).select("node") for side in (0, 1))
     ahead, behind = (x.join(y, "node", "left_anti").agg(F.count("*").alias(n)) for x, y, n in ((a, b, "ahead"), (b, a, "behind")))
     return ahead.withColumn("behind", behind.scalar())
 

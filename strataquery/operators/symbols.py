@@ -14,9 +14,9 @@ CALLABLE_KINDS = ("method", "constructor", "function", "storedProcedure", "sqlFu
 KINDS = TYPE_KINDS + CALLABLE_KINDS + ("property", "field", "delegate", "event", "enumMember", "typeAlias", "variable", "xmlElement", "table", "view", "userDefinedType", "column", "sqlIndex")
 #: Attribute names that mark tests (fixed values).
 TEST_ATTRIBUTES = (
-    "test testcase testcasesource fact skippablefact theory skippabletheory testmethod datatestmethod uitestmethod testinitialize testcleanup testfixturesetup "
-    "testfixtureteardown rstest test_case wasm_bindgen_test traced_test test_context proptest quickcheck"
-).split()
+    "test", "testcase", "testcasesource", "fact", "skippablefact", "theory", "skippabletheory", "testmethod", "datatestmethod", "uitestmethod", "testinitialize", "testcleanup",
+    "testfixturesetup", "testfixtureteardown", "rstest", "test_case", "wasm_bindgen_test", "traced_test", "test_context", "proptest", "quickcheck",
+)
 #: Lines per bin of a range join.
 BIN = 64
 
@@ -110,6 +110,23 @@ def innermost(points: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     return met.groupBy(*key).agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "def_id")).alias("best")).select(*key, F.col("best.def_id").alias("def_id"))
 
 
+#: What definitions can be sorted by: seven metrics of their code, and their lines (fixed values).
+METRICS = ("cyclomatic_complexity", "cognitive_complexity", "max_nesting_depth", "param_count", "return_count", "call_count", "lambda_count", "lines")
+
+
+def by_metric(definitions: DataFrame, stats: DataFrame, metric: str, size: int) -> DataFrame:
+    """(def_id, name, metric, rank): the `size` definitions with most of a metric, ties by def_id; without stats it is 0. Other metrics are an error."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known are {', '.join(METRICS)}")
+    if metric == "lines":
+        rows = definitions.withColumn("metric", F.greatest(F.col("line_end") - F.col("line_start"), F.lit(0)) + 1)
+    else:
+        rows = definitions.join(stats.select("def_id", metric), "def_id", "left").withColumn("metric", F.coalesce(metric, F.lit(0)))
+    order = [F.desc("metric"), F.asc("def_id")]
+    top = rows.select("def_id", "name", "metric").orderBy(*order).limit(size)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def version_base(name: Column) -> Column:
     """The name without a version: four digits or more, or v and digits, at its end."""
     return F.regexp_extract(name, r"^(.*?)[\s_.\-]*(?:\d{4,}|[vV]\d+)$", 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions import text as X
@@ -68,16 +70,29 @@ def def_tier_rank(spark, folder):
     return top.select("def_id", "name", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
 
 
+def def_parent_rank(spark, folder):
+    """Ranked by how well the holder's name fits, then the own name: the holder's tier comes first."""
+    rows = _defs(spark, folder, "def_id", "name", "kind", "parent").where(Y.any_contains("name", ["read", "get"]) & Y.any_contains("parent", ["cache", "tile"]))
+    order = Y.relevance(["read", "get"], ["cache", "tile"])
+    return rows.orderBy(*order).limit(60).select("def_id", "name", "parent", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+
+
+def def_exclude_dir(spark, folder):
+    """Definitions of a scope without some of its folders."""
+    rows = _placed(spark, folder, "def_id", "file_id", "name", "kind")
+    return rows.where(Y.kinds("class", "interface") & X.in_scope(F.col("path"), "src", extensions=["cs", "ts"], exclude_dirs=["cache", "tile"], exclude=["test"])).select("def_id", "name", "path")
+
+
 def def_stats_threshold(spark, folder):
     rows = _defs(spark, folder, "def_id", "file_id", "name").join(_stats(spark, folder), "def_id")
     return rows.where("cyclomatic_complexity >= 20 and max_nesting_depth >= 3 and param_count >= 2").select("def_id", "name", "cyclomatic_complexity", "cognitive_complexity")
 
 
 def def_metric_sort(spark, folder):
-    """The 100 longest-nested definitions; missing metrics count as 0."""
-    rows = _defs(spark, folder, "def_id", "name").join(_stats(spark, folder), "def_id", "left").withColumn("metric", F.coalesce("call_count", F.lit(0)) * 10 + F.coalesce("max_nesting_depth", F.lit(0)))
-    order = [F.desc("metric"), F.asc("def_id")]
-    return rows.orderBy(*order).limit(100).select("def_id", "name", "metric", F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
+    """The 50 first definitions by each of the eight metrics."""
+    defs, stats = _defs(spark, folder, "def_id", "name", "line_start", "line_end"), _stats(spark, folder)
+    parts = [Y.by_metric(defs, stats, m, 50).withColumn("metric_name", F.lit(m)) for m in Y.METRICS]
+    return functools.reduce(DataFrame.union, parts)
 
 
 def code_stats_latest(spark, folder):
@@ -85,12 +100,14 @@ def code_stats_latest(spark, folder):
 
 
 def contains_line(spark, folder):
-    """All definitions around line 40 of each file, smallest first."""
-    defs = _defs(spark, folder, "def_id", "file_id", "line_start", "line_end")
-    points = _files(spark, folder).select("file_id", F.lit(40).alias("line"))
+    """All definitions around each of four lines of every file, smallest first; and the same for methods of some holders."""
+    defs = _defs(spark, folder, "def_id", "file_id", "kind", "parent", "line_start", "line_end")
+    points = _files(spark, folder).select("file_id", F.explode(F.array(*map(F.lit, (1, 40, 120, 400)))).alias("line"))
     met = Y.covering(points, defs)
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("line_end") - F.col("line_start"), "def_id"))
-    return met.select("file_id", "def_id", (F.col("line_end") - F.col("line_start")).alias("span"), place.cast("long").alias("place"))
+    place = F.row_number().over(Window.partitionBy("file_id", "line", "filtered").orderBy(F.col("line_end") - F.col("line_start"), "def_id"))
+    some = met.where(Y.kinds("method", "constructor") & Y.any_contains("parent", ["cache", "tile", "view"]))
+    every = met.withColumn("filtered", F.lit(False)).union(some.withColumn("filtered", F.lit(True)))
+    return every.select("file_id", "line", "filtered", "def_id", (F.col("line_end") - F.col("line_start")).alias("span"), place.cast("long").alias("place"))
 
 
 def innermost_span(spark, folder):
@@ -265,7 +282,7 @@ def fuzzy_interface(spark, folder):
     return classes.join(F.broadcast(asked), G.implements(F.col("name"), F.col("interface"))).select("interface", "name")
 
 
-_NAMES = """def_filter_kind_parent def_attribute def_base_direct transitive_bases def_name_modes def_tier_rank def_stats_threshold def_metric_sort code_stats_latest contains_line
+_NAMES = """def_filter_kind_parent def_parent_rank def_exclude_dir def_attribute def_base_direct transitive_bases def_name_modes def_tier_rank def_stats_threshold def_metric_sort code_stats_latest contains_line
 innermost_span term_breakdown missing_terms usage_count auto_summary kind_correct name_autocorrect value_source audit_empty cross_validate test_definitions selector_status
 file_name_rank glob_search file_filters dir_file_counts call_edges call_tree_down call_tree_up call_tree_budget impact_tests grep_refs fuzzy_interface""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -278,6 +295,7 @@ _S = """, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY def_id
 _ATTR = "lower(regexp_extract(trim(regexp_replace(regexp_replace({0}, '\\(.*$', ''), '<.*$', '')), '([^.:]*)[.:]*$', 1))"
 _BASE = "lower(trim(split_part(b, '<', 1)))"
 _TIER = "CASE WHEN lower({0}) = '{1}' THEN 0 WHEN starts_with(lower({0}), '{1}') THEN 1 ELSE 2 END"
+_TIERS = ", ".join("CASE WHEN lower({0}) = '{%d}' THEN 0 WHEN starts_with(lower({0}), '{%d}') THEN 1 WHEN contains(lower({0}), '{%d}') THEN 2 ELSE 3 END" % (i, i, i) for i in (1, 2))
 _TYPE = "CASE WHEN kind IN ('class', 'interface', 'enum', 'struct', 'record') THEN 0 ELSE 1 END"
 _BASENAME = "regexp_extract(path, '[^/]*$')"
 _STEM = f"regexp_replace({_BASENAME}, '(.)\\.[^.]*$', '\\1')"
@@ -312,11 +330,19 @@ SQL = {
         regexp_matches(name, '^(Get|Read)[A-Z]') AS by_pattern FROM d) SELECT * FROM t WHERE term IS NOT NULL OR by_pattern""",
     "def_tier_rank": f"""{_D} SELECT * FROM (SELECT def_id, name, row_number() OVER (ORDER BY least({_TIER.format('name', 'cache')}, {_TIER.format('name', 'cachereader')}), {_TYPE}, strlen(name), name, def_id) AS rank
         FROM d WHERE contains(lower(name), 'cache')) WHERE rank <= 60""",
+    "def_parent_rank": f"""{_D} SELECT * FROM (SELECT def_id, name, parent, row_number() OVER (ORDER BY least({_TIERS.format('parent', 'cache', 'tile')}), least({_TIERS.format('name', 'read', 'get')}), {_TYPE}, strlen(name), name, def_id) AS rank
+        FROM d WHERE (contains(lower(name), 'read') OR contains(lower(name), 'get')) AND (contains(lower(parent), 'cache') OR contains(lower(parent), 'tile'))) WHERE rank <= 60""",
+    "def_exclude_dir": f"""{_D}{_F} SELECT def_id, name, path FROM d JOIN f USING (file_id) WHERE kind IN ('class', 'interface') AND starts_with(lower(path), 'src/') AND lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('cs', 'ts')
+        AND NOT (contains(lower(path), '/cache/') OR starts_with(lower(path), 'cache/')) AND NOT (contains(lower(path), '/tile/') OR starts_with(lower(path), 'tile/')) AND NOT contains(lower(path), 'test')""",
     "def_stats_threshold": f"{_D}{_S} SELECT def_id, name, cyclomatic_complexity, cognitive_complexity FROM d JOIN s USING (def_id) WHERE cyclomatic_complexity >= 20 AND max_nesting_depth >= 3 AND param_count >= 2",
-    "def_metric_sort": f"""{_D}{_S} SELECT * FROM (SELECT *, row_number() OVER (ORDER BY metric DESC, def_id) AS rank FROM (SELECT def_id, name, coalesce(call_count, 0) * 10 + coalesce(max_nesting_depth, 0) AS metric
-        FROM d LEFT JOIN s USING (def_id))) WHERE rank <= 100""",
+    "def_metric_sort": f"""{_D}{_S}, m AS (SELECT def_id, name, metric, metric_name FROM (SELECT def_id, name, line_start, line_end, coalesce(cyclomatic_complexity, 0) AS cyclomatic_complexity, coalesce(cognitive_complexity, 0) AS cognitive_complexity,
+        coalesce(max_nesting_depth, 0) AS max_nesting_depth, coalesce(param_count, 0) AS param_count, coalesce(return_count, 0) AS return_count, coalesce(call_count, 0) AS call_count, coalesce(lambda_count, 0) AS lambda_count,
+        greatest(line_end - line_start, 0) + 1 AS lines FROM d LEFT JOIN s USING (def_id)) UNPIVOT (metric FOR metric_name IN (cyclomatic_complexity, cognitive_complexity, max_nesting_depth, param_count, return_count, call_count, lambda_count, lines)))
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY metric DESC, def_id) AS rank FROM m) WHERE rank <= 50""",
     "code_stats_latest": f"{_D}{_S} SELECT max_nesting_depth, count(*) AS n, sum(cyclomatic_complexity)::BIGINT AS cyclomatic, sum(cognitive_complexity)::BIGINT AS cognitive FROM s GROUP BY ALL",
-    "contains_line": f"{_D}{_F} SELECT file_id, def_id, line_end - line_start AS span, row_number() OVER (PARTITION BY file_id ORDER BY line_end - line_start, def_id) AS place FROM d JOIN f USING (file_id) WHERE 40 BETWEEN line_start AND line_end",
+    "contains_line": f"""{_D}{_F}, m AS (SELECT file_id, line, def_id, line_end - line_start AS span, kind, parent FROM d JOIN f USING (file_id), (VALUES (1), (40), (120), (400)) v(line) WHERE line BETWEEN line_start AND line_end),
+        e AS (SELECT *, false AS filtered FROM m UNION ALL SELECT *, true FROM m WHERE kind IN ('method', 'constructor') AND (contains(lower(parent), 'cache') OR contains(lower(parent), 'tile') OR contains(lower(parent), 'view')))
+        SELECT file_id, line, filtered, def_id, span, row_number() OVER (PARTITION BY file_id, line, filtered ORDER BY span, def_id) AS place FROM e""",
     "innermost_span": f"""{_D} SELECT p.def_id AS point_id, arg_min(s.def_id, (s.line_end - s.line_start, s.def_id)) AS def_id FROM d p JOIN d s ON s.file_id = p.file_id AND p.line_start BETWEEN s.line_start AND s.line_end
         AND s.kind IN ('method', 'constructor', 'function', 'storedProcedure', 'sqlFunction') GROUP BY ALL""",
     "term_breakdown": f"""{_D} SELECT term, count(def_id) AS n FROM (VALUES (0, 'cache'), (1, 'tile'), (2, 'zzz'), (3, 'reader')) v(i, term) LEFT JOIN (SELECT def_id, CASE WHEN contains(lower(name), 'cache') THEN 0

@@ -88,3 +88,12 @@ def test_empty_and_null(spark):
 def test_hot_holder(spark):
     data = [(0, 1, "A", "class", None)] + [(i, 1, "m", "method", "A") for i in range(1, 3001)]
     assert H.related_pairs(spark.createDataFrame(data, SCHEMA)).count() == 3000
+
+
+@pytest.mark.parametrize(
+    ("parent", "expected"),
+    [("A<B<C<D<E<F<G<H<I<J<K>>>>>>>>>>", "A"), ("n.A<x.B>", "A"), ("A<B<C>", "A"), ("A<B>C<D", "AC"), ("A<B C<D>E", "A"), ("A>B<C>", "A>B"), ("<" * 3000 + ">" * 3000 + "x::Y", "Y"), (" A ", "A"), ("<>", None), ("", None), (None, None)],
+)
+def test_bare_names_at_any_depth(spark, parent, expected):
+    df = spark.createDataFrame([(parent,)], "p string")
+    assert df.select(H.bare_name(df.p)).first()[0] == expected
