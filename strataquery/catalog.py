@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and SQL.
-MODULES = tuple(f"strataquery.plans.{m}" for m in ("general", "content", "symbol", "calls", "trees", "other"))
+MODULES = tuple(f"strataquery.plans.{m}" for m in ("general", "content", "symbol", "calls", "callgraph", "trees", "other"))
 FLAGSHIP = "tfidf_multi_or"
 
 

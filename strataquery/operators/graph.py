@@ -29,13 +29,14 @@ def reach(
     chains: bool = False,
     stop: DataFrame | Column | None = None,
     siblings: DataFrame | None = None,
+    ranks: DataFrame | None = None,
 ) -> DataFrame:
     """(root, node, depth[, chain]): nodes reached from roots (root, node) over edges (src, dst).
 
     Breadth first, all roots at once; a node is taken once per root, at its least depth. depth None goes on
     until nothing new is met. per_level caps the new nodes per root and level after ordering; nodes of stop
-    (node), or for which it holds, end a path and are exempt from the cap. siblings (node, group): with a node all nodes of its
-    groups are taken at the same depth. The edges are stored once, and every level is.
+    (node), or for which it holds, end a path and are exempt from the cap. ranks (node and columns that order uses) joins them to the
+    nodes. siblings (node, group): with a node all nodes of its groups are taken at the same depth. The edges are stored once, and every level is.
     """
     edges = stored(edges.select("src", "dst").distinct(), "edges")
     first = roots.select("root", "node", F.lit(0).alias("depth"), F.array(F.col("node").cast("string")).alias("chain"))
@@ -60,7 +61,7 @@ def reach(
         step = step.join(seen, ["root", "node"], "left_anti").select(*frontier.columns)
         if per_level:
             place = F.row_number().over(Window.partitionBy("root", "__end").orderBy(*(order or [F.col("node")])))
-            step = ended(step).withColumn("__place", place).where(F.col("__end").isNotNull() | (F.col("__place") <= per_level)).select(*frontier.columns)
+            step = ended(step if ranks is None else step.join(ranks, "node", "left")).withColumn("__place", place).where(F.col("__end").isNotNull() | (F.col("__place") <= per_level)).select(*frontier.columns)
         frontier = stored(step, "level")
         if frontier.isEmpty():
             break

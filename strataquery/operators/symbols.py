@@ -61,7 +61,7 @@ def has_attribute(name: str) -> Column:
 
 def is_test(path: Column) -> Column:
     """Whether a definition is a test, by its attributes or its file's name."""
-    marks = F.exists("attributes", lambda a: F.regexp_replace(attribute_name(a), "attribute$", "").isin(TEST_ATTRIBUTES) | F.rlike(a, F.lit(r"^cfg\s*\(\s*(test|(all|any)\(([^)]*,)?\s*test\s*(,[^)]*)?\))\s*\)$")))
+    marks = F.exists("attributes", lambda a: F.regexp_replace(attribute_name(a), "attribute$", "").isin(*TEST_ATTRIBUTES) | F.rlike(a, F.lit(r"^cfg\s*\(\s*(test|(all|any)\(([^)]*,)?\s*test\s*(,[^)]*)?\))\s*\)$")))
     return F.coalesce(marks, F.lit(False)) | F.coalesce(F.rlike(F.lower(path), F.lit(r"\.(spec|test)\.(ts|tsx|js)$")), F.lit(False))
 
 

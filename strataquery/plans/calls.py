@@ -14,9 +14,11 @@ from strataquery.operators import graph as G
 from strataquery.operators import index as I
 from strataquery.operators import symbols as Y
 from strataquery.plans.content import _DOCS, _documents, _index, _prepared
-from strataquery.plans.symbol import _METHOD, _defs
+from strataquery.plans.symbol import _defs
 from strataquery.sources.tables import table
 
+_METHOD = r"^\s*(?:public|private|protected|internal)\b[A-Za-z0-9_ <>\[\],]*? ([A-Za-z_][A-Za-z0-9_]*)\("
+
 # Inline symbols: an interface with two classes, a generic base, a built-in receiver, a free function.
 _CLASSES = [("Store", ["IStore<T>", "Base"]), ("CachedStore", ["Store", "IStore"]), ("Other", []), ("IStore", []), ("Base", [])]
 _METHODS = [(1, "Load", "method", "Store"), (2, "Load", "method", "CachedStore"), (3, "Load", "method", "IStore"), (4, "Load", "method", "Other"), (5, "load", "function", None), (6, "Store", "constructor", "Store"), (7, "Push", "method", "Stack")]

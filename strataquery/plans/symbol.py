@@ -11,8 +11,7 @@ from strataquery.functions import text as X
 from strataquery.operators import graph as G
 from strataquery.operators import index as I
 from strataquery.operators import symbols as Y
-from strataquery.operators.hierarchy import bare_name
-from strataquery.plans.content import _DOCS, _IDX, _documents, _files, _index, _prepared
+from strataquery.plans.content import _IDX, _files, _index, _prepared
 from strataquery.sources.tables import table
 
 _COLUMNS = ("def_id", "file_id", "name", "kind", "line_start", "line_end", "parent", "attributes", "base_types")
@@ -216,55 +215,7 @@ def dir_file_counts(spark, folder):
     return _files(spark, folder).where(F.contains("path", F.lit("/"))).select(F.explode(above).alias("folder")).groupBy("folder").agg(F.count("*").alias("n_files"))
 
 
-# ---- graphs -------------------------------------------------------------------------------------
-
-_METHOD = r"^\s*(?:public|private|protected|internal)\b[A-Za-z0-9_ <>\[\],]*? ([A-Za-z_][A-Za-z0-9_]*)\("
-_CALL = r"[A-Za-z_][A-Za-z0-9_]*\.([A-Z][A-Za-z0-9_]*)\("
-
-
-def _calls(spark, folder):
-    """(src, dst): lines of C# files, the method they stand in carried down, and the methods they call."""
-    lines = I.file_lines(_documents(spark, folder).where(X.extension(F.col("path")) == "cs"))
-    named = lines.withColumn("own", F.nullif(F.regexp_extract("line", _METHOD, 1), F.lit("")))
-    w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    inside = named.withColumn("src", F.last("own", ignorenulls=True).over(w))
-    sites = inside.where("own is null and src is not null").select("src", F.explode(F.regexp_extract_all("line", F.lit(_CALL), 1)).alias("dst"))
-    methods = named.where("own is not null").select(F.col("own").alias("dst")).distinct()
-    return sites.join(methods, "dst", "left_semi").where("src <> dst").select("src", "dst").distinct()
-
-
-def _roots(spark, *names):
-    return spark.createDataFrame([(n, n) for n in names], "root string, node string")
-
-
-def call_edges(spark, folder):
-    return _calls(spark, folder)
-
-
-def call_tree_down(spark, folder):
-    return G.reach(_calls(spark, folder), _roots(spark, "Purge", "Notify", "Balance", "Rename"), 3)
-
-
-def call_tree_up(spark, folder):
-    edges = _calls(spark, folder).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.reach(edges, _roots(spark, "Purge", "Notify", "Balance", "Rename"), 3)
-
-
-def call_tree_budget(spark, folder):
-    """Ten callees per level by name, forty nodes in all."""
-    return G.within_budget(G.reach(_calls(spark, folder), _roots(spark, "Purge", "Notify"), 3, per_level=10), 40)
-
-
-def impact_tests(spark, folder):
-    """Tests reached from the outermost containers, with depth and chain; paths end at tests."""
-    defs = _defs(spark, folder, "def_id", "file_id", "name", "kind", "parent", "attributes")
-    holders = defs.where(F.col("kind").isin("class", "interface", "struct", "record")).groupBy("file_id", F.col("name").alias("holder")).agg(F.min("def_id").alias("src"))
-    held = defs.where("file_id is not null").select("file_id", F.col("def_id").alias("dst"), bare_name(F.col("parent")).alias("holder"))
-    edges = held.join(holders, ["file_id", "holder"]).select("src", "dst")
-    tests = defs.where(Y.has_attribute("TestMethod")).select(F.col("def_id").alias("node"))
-    tops = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti").select(F.col("node").alias("root"), "node")
-    tree = G.reach(edges, tops, 4, chains=True)
-    return tree.where("depth > 0").join(tests, "node", "left_semi").select("root", "node", "depth", F.array_join("chain", ">").alias("chain"))
+# ---- references ---------------------------------------------------------------------------------
 
 
 def grep_refs(spark, folder):
@@ -284,7 +235,7 @@ def fuzzy_interface(spark, folder):
 
 _NAMES = """def_filter_kind_parent def_parent_rank def_exclude_dir def_attribute def_base_direct transitive_bases def_name_modes def_tier_rank def_stats_threshold def_metric_sort code_stats_latest contains_line
 innermost_span term_breakdown missing_terms usage_count auto_summary kind_correct name_autocorrect value_source audit_empty cross_validate test_definitions selector_status
-file_name_rank glob_search file_filters dir_file_counts call_edges call_tree_down call_tree_up call_tree_budget impact_tests grep_refs fuzzy_interface""".split()
+file_name_rank glob_search file_filters dir_file_counts grep_refs fuzzy_interface""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
 # ---- SQL ----------------------------------------------------------------------------------------
@@ -300,23 +251,6 @@ _TYPE = "CASE WHEN kind IN ('class', 'interface', 'enum', 'struct', 'record') TH
 _BASENAME = "regexp_extract(path, '[^/]*$')"
 _STEM = f"regexp_replace({_BASENAME}, '(.)\\.[^.]*$', '\\1')"
 _BARE = r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(parent, '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<.*$', ''), '^.*(\.|::)', ''), '^\s+|\s+$', '', 'g')), '')"
-_CALLS = (
-    _DOCS
-    + f""", cs AS (SELECT l.* FROM lines l JOIN docs USING (file_id) WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) = 'cs'),
-named AS (SELECT *, nullif(regexp_extract(line, '{_METHOD}', 1), '') AS own FROM cs),
-inside AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS src FROM named),
-edges AS (SELECT DISTINCT src, dst FROM (SELECT src, unnest(regexp_extract_all(line, '{_CALL}', 1)) AS dst FROM inside WHERE own IS NULL AND src IS NOT NULL) WHERE src <> dst AND dst IN (SELECT own FROM named))"""
-)
-
-
-def _tree(src: str, dst: str) -> str:
-    return (
-        _CALLS.replace("WITH docs", "WITH RECURSIVE docs", 1)
-        + f""", walk AS (SELECT n AS root, n AS node, 0 AS depth FROM (VALUES ('Purge'), ('Notify'), ('Balance'), ('Rename')) v(n)
-    UNION SELECT root, {dst}, depth + 1 FROM walk JOIN edges ON {src} = node WHERE depth < 3)
-SELECT root, node, min(depth)::INT AS depth FROM walk GROUP BY ALL"""
-    )
-
 
 SQL = {
     "def_filter_kind_parent": f"""{_D}{_F} SELECT def_id, name, kind, path FROM d JOIN f USING (file_id) WHERE kind IN ('method', 'property', 'constructor')
@@ -372,14 +306,6 @@ SQL = {
         AND len(string_split(path, '/')) <= 3 AND n_chars BETWEEN 200 AND 4000""",
     "dir_file_counts": f"""{_D}{_F}, p AS (SELECT string_split(regexp_replace(path, '(^|/)[^/]*$', ''), '/') AS parts FROM f WHERE contains(path, '/')),
         a AS (SELECT array_to_string(parts[:n], '/') AS folder FROM (SELECT parts, unnest(generate_series(1, len(parts))) AS n FROM p)) SELECT folder, count(*) AS n_files FROM a GROUP BY ALL""",
-    "call_edges": f"{_CALLS} SELECT src, dst FROM edges",
-    "call_tree_down": _tree("src", "dst"),
-    "call_tree_up": _tree("dst", "src"),
-    "impact_tests": f"""{_D.replace('WITH d', 'WITH RECURSIVE d')}, h AS (SELECT file_id, name AS holder, min(def_id) AS src FROM d WHERE kind IN ('class', 'interface', 'struct', 'record') GROUP BY ALL),
-        e AS (SELECT src, def_id AS dst FROM (SELECT def_id, file_id, {_BARE} AS holder FROM d) JOIN h USING (file_id, holder)),
-        walk AS (SELECT DISTINCT src AS root, src AS node, 0 AS depth, src::VARCHAR AS chain FROM e WHERE src NOT IN (SELECT dst FROM e)
-        UNION ALL SELECT root, dst, depth + 1, concat(chain, '>', dst) FROM walk JOIN e ON src = node WHERE depth < 4)
-        SELECT root, node, depth, chain FROM walk WHERE depth > 0 AND node IN (SELECT def_id FROM d WHERE len(list_filter(attributes, lambda a: {_ATTR.format('a')} = 'testmethod')) > 0)""",
     "grep_refs": f"""{_IDX}, n AS (SELECT DISTINCT lower(name) AS token, file_id FROM definitions WHERE kind = 'class' AND file_id IS NOT NULL AND def_id IS NOT NULL)
         SELECT token, count(*) AS n_files FROM idx WHERE token IN (SELECT token FROM n) AND (token, file_id) NOT IN (SELECT token, file_id FROM n) GROUP BY ALL""",
 }
