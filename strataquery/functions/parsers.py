@@ -12,9 +12,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Longest text that is parsed, and blocks around a callable whose metrics are still counted.
-LIMIT, DEEPEST = 4 << 20, 64
-
 
 
 def _line_finder(text: str) -> Callable[[int], int]:
@@ -121,14 +118,19 @@ _XML = re.compile(r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<c
 _ATTRIBUTE = re.compile(r"([A-Za-z_][\w.:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
 
 
+#: Levels of an element's ancestry that are spelled out.
+SHOWN = 64
+
+
 def xml_elements(text: str) -> list[tuple]:
     """(element_id, parent_id, name, path, line, end_line, attributes, content, is_leaf) in document order.
 
-    path is the ancestry `a > b > c`; content is the element's own text, cut to 197 characters and `...`
+    path is the ancestry `a > b > c`, below SHOWN levels with `…` for those in between; content is the element's own text, cut to 197 characters and `...`
     above 200. Ends without a start are passed over, elements without an end run to the end of the text.
     """
     rows: list[list] = []
     stack: list[int] = []
+    opened: dict[str, int] = {}
     line, at = 1, 0
     for m in _XML.finditer(text):
         line += text.count("\n", at, m.start())
@@ -138,22 +140,31 @@ def xml_elements(text: str) -> list[tuple]:
             if stack and piece.strip():
                 rows[stack[-1]][7] = (rows[stack[-1]][7] + " " + piece.strip()).strip()
         elif m["name"] and m["close"]:
+            if not opened.get(m["name"]):
+                continue
             for depth in range(len(stack) - 1, -1, -1):
                 if rows[stack[depth]][2] == m["name"]:
                     for i in stack[depth:]:
                         rows[i][5] = line
+                        opened[rows[i][2]] -= 1
                     del stack[depth:]
                     break
         elif m["name"]:
             parent = stack[-1] if stack else None
-            path = f"{rows[parent][3]} > {m['name']}" if parent is not None else m["name"]
+            if parent is None:
+                path = m["name"]
+            elif len(stack) < SHOWN:
+                path = f"{rows[parent][3]} > {m['name']}"
+            else:
+                path = f"{rows[stack[SHOWN - 2]][3]} > … > {m['name']}"
             if parent is not None:
                 rows[parent][8] = False
             given = [f"{k}={a or b}" for k, a, b in _ATTRIBUTE.findall(m["rest"])]
             end = line + text.count("\n", m.start(), m.end())
             rows.append([len(rows), parent, m["name"], path, line, end, given, "", True])
-            if not m["rest"].rstrip().endswith("/") and len(stack) < 1024:
+            if not m["rest"].rstrip().endswith("/"):
                 stack.append(len(rows) - 1)
+                opened[m["name"]] = opened.get(m["name"], 0) + 1
     last = text.count("\n") + 1
     for i in stack:
         rows[i][5] = last
@@ -170,8 +181,6 @@ _HTML = re.compile(
 
 def custom_elements(html: str) -> list[str]:
     """Distinct names of opening tags with a hyphen, in lower case, sorted; `ng-` names, comments, CDATA, scripts and styles are passed over."""
-    if len(html.encode()) > LIMIT:
-        return []
     found, at = set(), 0
     while m := _HTML.search(html, at):
         at = m.end()
@@ -260,9 +269,9 @@ def complexity(body: str, language: str) -> tuple[int, int, int, int, int]:
     token = re.compile(rf"(?P<branch>{_BRANCHES[language]})|(?P<else>\belse\b(?!\s+if\b))|(?P<op>&&|\|\|)|(?P<try>\btry\b)|(?P<lam>{_LAMBDAS[language]})|[{{}};]")
     cyclomatic, cognitive, deepest, lambdas = 1, 0, 0, 0
     stack: list[bool] = []
+    nesting = 0  # nesting blocks on the stack
     pending, operator = False, None
     for m in token.finditer(body):
-        nesting = sum(stack)
         if m["branch"]:
             cyclomatic += 1
             else_if = body[max(0, m.start() - 16) : m.start()].rstrip().endswith("else")
@@ -280,10 +289,11 @@ def complexity(body: str, language: str) -> tuple[int, int, int, int, int]:
             pending, deepest = True, max(deepest, nesting + 1)
         elif m[0] == "{":
             stack.append(pending)
+            nesting += pending
             pending, operator = False, None
         elif m[0] == "}":
             if stack:
-                stack.pop()
+                nesting -= stack.pop()
             pending, operator = False, None
         else:
             pending, operator = False, None
@@ -312,18 +322,20 @@ def code_symbols(text: str, language: str) -> list[tuple]:
         blocks = [(m.start("name"), _block(code, m.end(), ends), m["name"]) for m in _IMPL.finditer(code)]
         owners += [(at, block[1], name) for at, block, name in blocks if block]
     out = []
-    open_: list[int] = []
+    waiting, around = sorted(owners, reverse=True), []
     for at, end, kind, name, mods, bases, params, block in sorted(found):
-        while open_ and open_[-1] < at:
-            open_.pop()
-        if block:
-            open_.append(block[1])
-        around = [o for o in owners if o[0] < at and end <= o[1]]
-        parent = max(around)[2] if around else None
+        while waiting and waiting[-1][0] < at:  # owners begun so far, of which the finished ones are let go
+            owner = waiting.pop()
+            while around and around[-1][1] < owner[0]:
+                around.pop()
+            around.append(owner)
+        while around and around[-1][1] < at:
+            around.pop()
+        parent = next((o[2] for o in reversed(around) if end <= o[1]), None)
         if language == "rs" and kind == "function" and parent:
             kind = "method"
         n = len([p for p in re.split(r",(?![^<(]*[>)])", params) if p.strip()]) if params is not None else None
-        stats = complexity(code[block[0] + 1 : block[1]], language) if block and kind in ("method", "constructor", "function") and len(open_) <= DEEPEST else (None,) * 5
+        stats = complexity(code[block[0] + 1 : block[1]], language) if block and kind in ("method", "constructor", "function") else (None,) * 5
         out.append((kind, name, parent, line_of(at), line_of(end), mods, bases, n, *stats))
     return out
 
@@ -396,7 +408,7 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "arra
 
 
 def parsed(files: DataFrame, what: str, language: str | None = None) -> DataFrame:
-    """Rows of one scanner over files (file_id, text), with file_id in front; texts above LIMIT are passed over."""
+    """Rows of one scanner over files (file_id, text), with file_id in front; texts of any length are read whole."""
     scan: Callable = globals()[what]
     fields = [f.rsplit(" ", 1) for f in _SCHEMAS[what].split(", ")]
     schema = pa.schema([("file_id", pa.int64()), *[(n, _ARROW[t]) for n, t in fields]])
@@ -405,7 +417,7 @@ def parsed(files: DataFrame, what: str, language: str | None = None) -> DataFram
         for batch in batches:
             rows = []
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and len(text) <= LIMIT:
+                if text:
                     rows += [(file, *r) for r in (scan(text, language) if language else scan(text))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

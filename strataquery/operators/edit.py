@@ -50,15 +50,53 @@ def occurrences_of(text: Column, part: str) -> Column:
     return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def insert_after(text: Column, anchor: str, line: str) -> Column:
-    """Text with a new line after the first line that holds anchor; as it is without one, or if the next line is the new one."""
+def insert_line(text: Column, anchor: str, line: str, before: bool = False) -> Column:
+    """Text with a new line after (before) the first line that holds anchor, with that line's kind of end.
+
+    As it is without such a line, or if the new line stands there already.
+    """
     at = F.instr(text, anchor)
-    end = F.call_function("locate", F.lit("\n"), text, at)  # of the anchor's line
-    whole = F.when(end > 0, F.concat(F.substr(text, F.lit(1), end), F.lit(line + "\n"), F.substr(text, end + 1))).otherwise(F.concat(text, F.lit("\n" + line)))
-    there = F.startswith(F.substr(text, end + 1), F.lit(line + "\n")) | (F.substr(text, end + 1) == line)
+    head = F.substr(text, F.lit(1), at - 1)
+    start = F.when(F.contains(head, F.lit("\n")), F.char_length(head) - F.char_length(F.substring_index(head, "\n", -1))).otherwise(0)  # characters before the anchor's line
+    end = F.call_function("locate", F.lit("\n"), text, at)  # 0 for a last line without an end
+    crlf = (end > 1) & (F.substr(text, end - 1, F.lit(1)) == "\r")
+    stop = F.when(crlf, F.lit("\r\n")).otherwise(F.lit("\n"))
+    own = F.concat(F.lit(line), stop)
+    if before:
+        there = F.endswith(F.substr(text, F.lit(1), start), F.concat(F.lit("\n"), own)) | (F.substr(text, F.lit(1), start) == own)
+        whole = F.concat(F.substr(text, F.lit(1), start), own, F.substr(text, start + 1))
+        return F.when((at == 0) | there, text).otherwise(whole)
+    rest = F.substr(text, end + 1)
+    whole = F.when(end > 0, F.concat(F.substr(text, F.lit(1), end), own, rest)).otherwise(F.concat(text, F.lit("\n" + line)))
+    there = F.startswith(rest, own) | (rest == line)
     return F.when((at == 0) | ((end > 0) & there), text).otherwise(whole)
 
 
+def insert_after(text: Column, anchor: str, line: str) -> Column:
+    return insert_line(text, anchor, line)
+
+
+def replace_checked(text: Column, old: str, new: str, nth: int = 0, context: str | None = None, expected: int | None = None) -> Column:
+    """(text, problem): replace_nth, if what was expected holds; else the text as it is and why.
+
+    context must stand within the text, on the line of an occurrence or next to it; there blanks may be of
+    any length. expected is the number of occurrences.
+    """
+    n = occurrences_of(text, old)
+    problem = F.when(n == 0, "not found").when(F.lit(nth) > n, "fewer occurrences")
+    if expected is not None:
+        problem = problem.when(n != expected, F.concat(F.lit("occurrences: "), n.cast("string")))
+    if context is not None:
+        import re
+
+        loose = r"\s+".join(re.escape(w) for w in context.split())
+        near = rf"{loose}[^\n]*\n?[^\n]*{re.escape(old)}|{re.escape(old)}[^\n]*\n?[^\n]*{loose}"
+        problem = problem.when(~F.rlike(text, F.lit(near)), "not in its context")
+    done = F.when(problem.isNull(), replace_nth(text, old, new, nth)).otherwise(text)
+    return F.struct(done.alias("text"), problem.alias("problem"))
+
+
+
 @F.pandas_udf(T.StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """Unified diff with three lines of context, at most 200 lines and then a mark."""

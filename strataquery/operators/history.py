@@ -54,6 +54,23 @@ def read_blame(lines: DataFrame) -> DataFrame:
     )
 
 
+def blame_range(blame: DataFrame, first: int, last: int | None = None) -> DataFrame:
+    """Lines first to last (only first, if not given) of every blamed file."""
+    return blame.where(F.col("line_no").between(first, last if last is not None else first))
+
+
+def blame_summary(blame: DataFrame) -> DataFrame:
+    """Per path: lines, different authors and commits, first and last time."""
+    who = F.struct("name", "email")
+    return blame.groupBy("path").agg(F.count("*").alias("n_lines"), F.count_distinct(who).alias("n_authors"), F.count_distinct("hash8").alias("n_commits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def still_valid(cache: DataFrame, head: DataFrame) -> DataFrame:
+    """(name, valid): a cached history holds if it ends at the head and was made of as much history (name, head, shallow; head, shallow)."""
+    now = head.select(F.col("head").alias("__head"), F.col("shallow").alias("__shallow"))
+    return cache.join(F.broadcast(now.limit(1)), how="left").select("name", (F.col("head").eqNullSafe(F.col("__head")) & F.col("shallow").eqNullSafe(F.col("__shallow"))).alias("valid"))
+
+
 def under_prefix(path: Column, prefix: str) -> Column:
     """The path itself or anything below; an empty prefix is everything."""
     return F.lit(True) if not prefix else (path == prefix) | F.startswith(path, F.lit(prefix.rstrip("/") + "/"))
@@ -80,9 +97,14 @@ def file_history(commits: DataFrame, touched: DataFrame, path: str, size: int, a
     return rows.orderBy(F.desc("ts"), F.asc("commit_id")).limit(size).withColumn("total", total)
 
 
-def authors(commits: DataFrame, touched: DataFrame, prefix: str) -> DataFrame:
-    """Per author: distinct commits below the prefix, first and last."""
+def authors(commits: DataFrame, touched: DataFrame, prefix: str, top: int | None = None) -> DataFrame:
+    """Per author: distinct commits below the prefix, first and last; with top the authors with most commits, ties by author."""
     hit = touched.where(under_prefix(F.col("path"), prefix)).select("commit_id").distinct()
+    found = _authors(commits, hit)
+    return found.orderBy(F.desc("n_commits"), "author_id").limit(top) if top else found
+
+
+def _authors(commits: DataFrame, hit: DataFrame) -> DataFrame:
     return commits.join(hit, "commit_id", "left_semi").groupBy("author_id").agg(F.count("*").alias("n_commits"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 

@@ -132,8 +132,8 @@ def version_base(name: Column) -> Column:
     return F.regexp_extract(name, r"^(.*?)[\s_.\-]*(?:\d{4,}|[vV]\d+)$", 1)
 
 
-def corrected(names: DataFrame, asked: DataFrame, least: float = 0.8, ratio: float = 0.6) -> DataFrame:
-    """(asked, name, similarity): for each asked name the most alike of names (name).
+def corrected(names: DataFrame, asked: DataFrame, least: float = 0.8, ratio: float = 0.6, top: int = 1) -> DataFrame:
+    """(asked, name, similarity): for each asked name the `top` most alike of names (name), ties by the later name.
 
     Lengths in bytes must be comparable, which is tested before the similarity; names that differ in a
     version number only are no correction. asked is as small as the request and broadcast.
@@ -143,7 +143,8 @@ def corrected(names: DataFrame, asked: DataFrame, least: float = 0.8, ratio: flo
     pairs = names.select("name").distinct().join(F.broadcast(asked), shorter >= ratio * longer)
     other = (version_base(a) != "") & (version_base(a) == version_base(b)) & (a != b)
     scored = pairs.where(~other).withColumn("similarity", F.round(jaro_winkler_udf(a, b), 6)).where(F.col("similarity") >= least)
-    return scored.groupBy("asked").agg(F.max_by(F.struct("name", "similarity"), F.struct("similarity", "name")).alias("best")).select("asked", "best.name", "best.similarity")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("similarity"), F.desc("name")))
+    return scored.select("asked", "name", "similarity").withColumn("__place", place).where(F.col("__place") <= top).drop("__place")
 
 
 def summary(rows: DataFrame, top: int = 3) -> DataFrame:

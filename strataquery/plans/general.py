@@ -63,3 +63,20 @@ SQL = {
         SELECT DISTINCT least(child, parent) AS def_id_a, greatest(child, parent) AS def_id_b FROM reach WHERE child <> parent""",
 }
 SQL["p4_resumed"] = SQL["p4_found"]
+
+_TREE = f"""
+        WITH RECURSIVE d AS (SELECT DISTINCT def_id, file_id, name, kind, {_BARE} AS holder FROM definitions WHERE file_id IS NOT NULL AND def_id IS NOT NULL),
+        holds AS (SELECT * FROM d WHERE kind IN {_CONTAINERS} AND name IS NOT NULL),
+        up AS (SELECT d.def_id AS child, min(c.def_id) AS parent FROM d JOIN holds c ON c.file_id = d.file_id AND c.name = d.holder GROUP BY ALL),
+        inner_up AS (SELECT * FROM up WHERE child IN (SELECT def_id FROM holds)),
+        reach AS (SELECT child, parent FROM inner_up UNION SELECT r.child, e.parent FROM reach r JOIN inner_up e ON e.child = r.parent),
+        rings AS (SELECT child AS id FROM reach WHERE child = parent),
+        circles AS (SELECT child AS id, least(child, min(parent)) AS circle FROM reach WHERE child IN (SELECT id FROM rings) GROUP BY child),
+        walk AS (SELECT def_id AS id, def_id AS cur, 0 AS depth, coalesce(name, '') AS path FROM d
+            UNION ALL SELECT w.id, u.parent, w.depth + 1, concat(h.name, '/', w.path) FROM walk w JOIN up u ON u.child = w.cur JOIN holds h ON h.def_id = u.parent WHERE w.cur NOT IN (SELECT id FROM rings)),
+        tops AS (SELECT id, arg_max(cur, depth) AS top, max(depth) AS depth, arg_max(path, depth) AS path FROM walk GROUP BY id),
+        below AS (SELECT parent AS id, count(*) AS n FROM reach WHERE child <> parent GROUP BY parent),
+        tree AS (SELECT d.def_id, d.file_id, u.parent AS parent_id, coalesce(circle, top) AS root_id, t.depth, CASE WHEN t.depth = 0 THEN d.name ELSE path END AS path, d.def_id IN (SELECT id FROM rings) AS in_cycle, coalesce(n, 0) AS containers_below
+            FROM d LEFT JOIN up u ON u.child = d.def_id JOIN tops t ON t.id = d.def_id LEFT JOIN circles c ON c.id = t.top LEFT JOIN below b ON b.id = d.def_id)"""
+SQL["p5_hierarchy"] = f"{_TREE} SELECT * FROM tree"
+SQL["p5_depths"] = f"{_TREE} SELECT depth, count(*) AS n_definitions, count(DISTINCT root_id) AS n_roots FROM tree GROUP BY ALL"

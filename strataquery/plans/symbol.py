@@ -306,6 +306,9 @@ SQL = {
         AND len(string_split(path, '/')) <= 3 AND n_chars BETWEEN 200 AND 4000""",
     "dir_file_counts": f"""{_D}{_F}, p AS (SELECT string_split(regexp_replace(path, '(^|/)[^/]*$', ''), '/') AS parts FROM f WHERE contains(path, '/')),
         a AS (SELECT array_to_string(parts[:n], '/') AS folder FROM (SELECT parts, unnest(generate_series(1, len(parts))) AS n FROM p)) SELECT folder, count(*) AS n_files FROM a GROUP BY ALL""",
+    "fuzzy_interface": f"""{_D}, c AS (SELECT DISTINCT name FROM d WHERE kind = 'class' AND name IS NOT NULL), p AS (SELECT interface, name, lower(interface[2:]) AS stem, lower(name) AS low FROM c, (VALUES ('ICacheReader'), ('ITile'), ('IFactoryServiceHub'), ('Iface')) v(interface)),
+        q AS (SELECT *, strlen(stem) AS n, len(list_filter(generate_series(1, least(length(stem), length(low))), lambda i: starts_with(low, stem[:i]))) AS common FROM p)
+        SELECT interface, name FROM q WHERE regexp_matches(interface, '^I\\p{{Lu}}') AND (low = stem OR (n >= 5 AND (contains(low, stem) OR (common >= 4 AND common * 2 >= n))))""",
     "grep_refs": f"""{_IDX}, n AS (SELECT DISTINCT lower(name) AS token, file_id FROM definitions WHERE kind = 'class' AND file_id IS NOT NULL AND def_id IS NOT NULL)
         SELECT token, count(*) AS n_files FROM idx WHERE token IN (SELECT token FROM n) AND (token, file_id) NOT IN (SELECT token, file_id FROM n) GROUP BY ALL""",
 }

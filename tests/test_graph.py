@@ -68,3 +68,27 @@ def test_corrections_spare_versions(spark):
     names = spark.createDataFrame([("Report2023",), ("CacheReader",), (None,)], "name string")
     asked = spark.createDataFrame([("Report2024",), ("CacheRaeder",), ("zz",)], "asked string")
     assert rows(Y.corrected(names, asked), "asked", "name") == [("CacheRaeder", "CacheReader")]
+
+
+def test_walks_without_a_bound_reach_their_ends(spark):
+    from strataquery.operators.history import ahead_behind
+
+    line = [(i + 1, i) for i in range(90)] + [(200, 40)]
+    edges = spark.createDataFrame(line, "src int, dst int")
+    one = lambda n: spark.createDataFrame([(n,)], "node int")
+    assert rows(ahead_behind(edges, one(90), one(200))) == [(50, 1)]
+
+
+def test_siblings_come_at_the_same_depth(spark):
+    edges = spark.createDataFrame([("a", "b1"), ("b2", "c")], "src string, dst string")
+    siblings = spark.createDataFrame([("b1", "I.b"), ("b2", "I.b"), ("x", "I.x")], "node string, group string")
+    roots = spark.createDataFrame([("a", "a")], "root string, node string")
+    assert rows(G.reach(edges, roots, 3, siblings=siblings), "node", "depth") == [("a", 0), ("b1", 1), ("b2", 1), ("c", 2)]
+    assert rows(G.reach(edges, roots, 3), "node", "depth") == [("a", 0), ("b1", 1)]
+
+
+def test_ends_are_exempt_from_the_cap(spark):
+    edges = spark.createDataFrame([("a", x) for x in ("b", "c", "d", "t1", "t2")] + [("t1", "z"), ("b", "y")], "src string, dst string")
+    roots = spark.createDataFrame([("a", "a")], "root string, node string")
+    stop = spark.createDataFrame([("t1",), ("t2",)], "node string")
+    assert rows(G.reach(edges, roots, 3, per_level=1, stop=stop), "node") == [("a",), ("b",), ("t1",), ("t2",), ("y",)]

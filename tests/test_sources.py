@@ -5,9 +5,9 @@ from conftest import rows
 
 from strataquery.operators import history as H
 from strataquery.operators.evaluation import mean_quality, quality
-from strataquery.operators.reconcile import drift
+from strataquery.operators.reconcile import checked_delta, drift
 from strataquery.sources import store
-from strataquery.streaming.changes import StreamedIndex, last_states
+from strataquery.streaming.changes import StreamedIndex, last_states, save_points
 
 RS = "\x1e"
 
@@ -94,3 +94,62 @@ def test_streamed_index_like_a_rebuild(spark, tmp_path):
 def test_last_state_wins(spark):
     df = spark.createDataFrame([("a", "modify", 1, "x"), ("a", "remove", 2, None), ("sub/.git/c", "modify", 1, "x")], "path string, op string, ts long, text string")
     assert rows(last_states(df)) == [("a", "remove", None)]
+
+
+def test_streamed_index_goes_on_after_it_was_opened_again(spark, tmp_path):
+    schema = "path string, op string, ts long, text string"
+    index = StreamedIndex(spark, str(tmp_path / "index"))
+    index.apply(spark.createDataFrame([("a", "create", 1, "one two"), ("b", "create", 1, "two")], schema), 0)
+    again = StreamedIndex(spark, str(tmp_path / "index"))
+    assert again.version == 0 and rows(again.read(), "token", "tf") == [("one", 1), ("two", 1), ("two", 1)]
+    again.apply(spark.createDataFrame([("b", "remove", 2, None)], schema), 1)
+    assert rows(StreamedIndex(spark, str(tmp_path / "index")).read(), "token", "tf") == [("one", 1), ("two", 1)]
+    again.apply(spark.createDataFrame([("c", "create", 3, "six")], schema), 5)  # a batch number was left out
+    assert rows(again.read(), "token", "tf") == [("one", 1), ("six", 1), ("two", 1)] and rows(again.read(3), "token", "tf") == [("one", 1), ("two", 1)]
+
+
+def test_streamed_index_is_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("strataquery.streaming.changes.FOLD_AFTER", 2)
+    schema = "path string, op string, ts long, text string"
+    index = StreamedIndex(spark, str(tmp_path / "index"))
+    for i in range(5):
+        index.apply(spark.createDataFrame([("a", "modify", i, f"word{i}"), (f"f{i}", "create", i, "same")], schema), i)
+        assert len(index._manifest(i)["deltas"]) <= 2
+    assert rows(index.read(), "token", "tf") == [("same", 1)] * 5 + [("word4", 1)]
+
+
+def test_a_description_is_replaced_without_a_gap(spark, tmp_path):
+    path = str(tmp_path / "d.json")
+    for value in ({"a": 1}, {"a": 2}):
+        store.write_json(spark, path, value)
+        assert store.read_json(spark, path) == value
+    assert [f for f in os.listdir(tmp_path) if f.endswith(".staged")] == []
+
+
+def test_kept_tables_are_built_once_per_state(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return {"t": spark.read.parquet(str(tmp_path / "in"))}, lambda written: {"n": written["t"].count()}
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        tables, figures = store.kept(spark, "test", [str(tmp_path / "in")], build)
+        assert figures == {"n": 3} and tables["t"].count() == 3
+    assert len(built) == 1
+    spark.range(5).write.mode("append").parquet(str(tmp_path / "in"))
+    assert store.kept(spark, "test", [str(tmp_path / "in")], build)[1] == {"n": 8} and len(built) == 2
+
+
+def test_deltas_hold_for_their_inputs_only(spark):
+    parsed = spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("c", "1", 3), ("d", "1", 1)], "path string, digest string, attempt int")
+    current = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "2")], "path string, digest string")
+    assert rows(checked_delta(parsed, current)) == [("a", "apply"), ("b", "again"), ("c", "keep old"), ("d", "remove")]
+
+
+def test_save_points(spark):
+    seconds = [0, 60, 120, 2000, *range(4000, 4000 + 1500, 100)]
+    df = spark.createDataFrame([("k", s) for s in seconds], "key string, s long").selectExpr("key", "timestamp_seconds(s) ts")
+    got = rows(save_points(df).selectExpr("unix_seconds(save_ts) s", "n_changes"))
+    assert sorted(got) == [(420, 3), (2300, 1), (4600, 6), (5200, 6), (5700, 3)]
