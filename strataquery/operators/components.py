@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.plans.skew import salted_join
-from strataquery.session import stored
+from strataquery.session import forget, stored
 
 
 def _to_least(edges: DataFrame, keep: str) -> DataFrame:
@@ -32,4 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(mark)
         large = _to_least(state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v"))), "larger").distinct()
         small = _to_least(large.where("u <> v"), "all")
-        state = stored(small.where("u <> v").distinct(), "edges")
+        old, state = state, stored(small.where("u <> v").distinct(), "edges")
+        forget(old)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.plans.skew import maybe_broadcast, salted_join
-from strataquery.session import stored
+from strataquery.session import forget, stored
 
 #: Kinds whose definitions can hold others (fixed values).
 CONTAINER_KINDS = ("class", "interface", "struct", "enum", "record", "table", "xmlElement")
@@ -262,7 +262,7 @@ def _doubled(nodes: DataFrame, label: str, until_stable: bool = False) -> DataFr
         gain = live.groupBy(F.col("ptr").alias("id")).agg(F.sum("size").alias("gain"))  # exactly 2^k below
         far = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("last").alias("last2"), F.col("dist").alias("dist2"))
         sizes = live.groupBy("ptr").agg(F.count("*").alias("n"))  # pointers end at few tops
-        state = stored(
+        old, state = state, stored(
             salted_join(state, far, ["ptr"], sizes, "n", F.xxhash64("id"), how="left")
             .join(gain, "id", "left")
             .select(
@@ -274,6 +274,7 @@ def _doubled(nodes: DataFrame, label: str, until_stable: bool = False) -> DataFr
             ),
             label,
         )
+        forget(old)
 
 
 def _large_forest(containers: DataFrame, with_paths: bool) -> DataFrame:

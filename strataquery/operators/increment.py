@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.plans.skew import maybe_broadcast
-from strataquery.session import scratch
+from strataquery.session import remove, scratch
 
 #: Children of a node are 2**FAN. The top level, of at most 2**TOP nodes, is compared on the driver and kept in the manifest.
 FAN, TOP = 6, 12
@@ -266,4 +266,5 @@ def changed_inputs(fingerprints: DataFrame, index_runs: DataFrame, folder: str |
         for run in fresh:
             seen = store.exists(f"{states}/run_id={run}")
             store.process(run, records.parquet(f"{states}/run_id={run}") if seen else spark.createDataFrame([], "key string, digest string"))
+        remove(spark, states)
     return (store.output(*ok) if ok else store.output()).select(F.col("run").alias("run_id"), F.col("key").alias("path"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +57,43 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Paths made within each open scope, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; within a scope it is removed with it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder, if they are there."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was stored within: read or write a query's result before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_SCOPES.pop())
+
+
+@contextmanager
+def lasting() -> Iterator[None]:
+    """What is stored within outlives the scopes around it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -65,4 +101,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, as the states of a loop that has gone on."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            remove(df.sparkSession, path)

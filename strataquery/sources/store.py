@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataquery.functions.text import fnv1a
-from strataquery.session import scratch, shared_dir
+from strataquery.session import lasting, scratch, shared_dir
 
 #: Files above this size are not read.
 LARGEST = 50 << 20
@@ -143,7 +143,8 @@ def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[],
     about = read_json(spark, at)
     if about is None or about["version"] != VERSION:
         tables, figures = build()
-        folder = scratch(spark, name)
+        with lasting():
+            folder = scratch(spark, name)
         for label, df in tables.items():
             df.write.option("compression", "zstd").parquet(f"{folder}/{label}")
         written = {label: spark.read.schema(df.schema).parquet(f"{folder}/{label}") for label, df in tables.items()}
