@@ -81,7 +81,7 @@ def _columns(batch: str, at: int, offset: int, line_of: Callable[[int], int]) ->
         elif c == ")" or (c == "," and depth == 1):
             if depth == 1:
                 m = _COLUMN.match(batch[begin:i])
-                if m and m["name"].strip('[]"').lower() not in _NO_COLUMN:
+                if m and m["name"].lower() not in _NO_COLUMN:  # quoted, it is a name like any other
                     yield m["name"].strip('[]"'), offset + line_of(begin + m.start("name"))
                 begin = i + 1
             if c == ")":

@@ -329,7 +329,9 @@ def code_symbols(spark, folder):
 
 
 def code_calls(spark, folder):
-    return P.parsed(_by_extension(spark, folder, "cs"), "code_calls", "cs")
+    """Calls inside methods and functions of three languages, by the scanner; the ordinal counts them within one."""
+    parts = [P.parsed(_by_extension(spark, folder, x), "code_calls", x).withColumn("language", F.lit(x)) for x in ("cs", "ts", "rs")]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def cs_methods(spark, folder):
@@ -454,6 +456,11 @@ SQL = {
         WHERE abs(length(name) - length(asked)) <= 2 AND levenshtein(asked, name) <= 2""",
     "stream_delta_index": f"{_OCC} SELECT count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM occ WHERE file_id IS NOT NULL GROUP BY file_id",
     "sql_stats": f"{_DOCS} SELECT file_id, len(list_filter(parts, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '--')))::INT AS cyclomatic FROM cut JOIN docs USING (file_id) WHERE {_EXT} = 'sql'",
+    "sql_columns": f"""{_SQLDOCS}, c AS (SELECT file_id, line_no, trim(regexp_replace(line, '--.*$', '')) AS line FROM s), g AS (SELECT *, CASE WHEN regexp_matches(line, '^CREATE ') THEN regexp_extract(line, '^CREATE\\s+TABLE\\s+\\[\\w+\\]\\.\\[(\\w+)\\]', 1) WHEN line LIKE ')%' OR line = 'GO' THEN '' END AS start FROM c),
+        w AS (SELECT *, last_value(start IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no) AS schema FROM g) SELECT schema, count(*) AS n_columns FROM w WHERE schema <> '' AND start IS NULL AND regexp_matches(line, '^\\[\\w+\\]\\s+[A-Z]') GROUP BY ALL""",
+    "custom_elements": f"""WITH t AS (SELECT doc_id AS file_id, regexp_extract(p, 'selector:\\s*''([^'']+)''', 1) AS selector, regexp_extract(p, 'template:\\s*`([^`]*)`', 1) AS template
+        FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '@(?:Component|Directive|Pipe|Injectable|NgModule)\\s*\\(', chr(1), 'g'), chr(1))) AS p FROM documents WHERE {_EXT} = 'ts' AND text IS NOT NULL))
+        SELECT file_id, selector, unnest(list_distinct(regexp_extract_all(lower(template), '<([a-z][a-z0-9]*-[a-z0-9-]*)', 1))) AS child FROM t WHERE template <> ''""",
     "sql_ddl_symbols": f"""{_SQLDOCS}, m AS (SELECT file_id, line_no, regexp_extract(line, '^\\s*CREATE\\s+(?:OR\\s+ALTER\\s+)?(TABLE|PROCEDURE|VIEW)\\s+\\[(\\w+)\\]\\.\\[(\\w+)\\]', ['k', 's', 'n']) AS g FROM s)
         SELECT file_id, CASE g.k WHEN 'TABLE' THEN 'table' WHEN 'VIEW' THEN 'view' ELSE 'storedProcedure' END AS kind, g.s AS schema, g.n AS name, line_no::INT AS line FROM m WHERE g.k <> ''""",
     "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL",

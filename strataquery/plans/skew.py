@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataquery.session import stored
+
 #: A key is hot from this share of the large side on, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 512
 #: Most rows of one piece of a hot key, whatever the size of the whole; the pieces follow from the key's size.
@@ -67,3 +69,17 @@ def salted_join(
         .drop("__pieces")
     )
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with dense numbers from 0 in an order, without one task seeing all rows: ranges of the order count by themselves."""
+    spark = df.sparkSession
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()  # one row per partition
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["__part"], total))
+        total += r["n"]
+    before = F.broadcast(spark.createDataFrame(starts, "__part long, __before long"))
+    return ranged.withColumn("__part", part).join(before, "__part").withColumn(name, F.col("__before") + place).select(*df.columns, name)

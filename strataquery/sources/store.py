@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
@@ -49,6 +50,30 @@ def files(spark: SparkSession, root: str, extensions: list[str] | None = None, h
     return rows
 
 
+def ignored(path: Column, rules: list[str]) -> Column:
+    """Whether rules of an ignore file leave a path out; the last rule that fits decides, `!` takes back.
+
+    A rule with a slash before its end holds from the root, others anywhere; a final slash means folders
+    only; `*` and `?` stay within a name, `**` does not. Blank lines and remarks say nothing.
+    """
+    verdict = F.lit(False)
+    for rule in rules:
+        rule = rule.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        back = rule.startswith("!")
+        body = rule[1:] if back else rule
+        folder = body.endswith("/")
+        body = body.rstrip("/")
+        rooted = "/" in body
+        parts, out = re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*|\*|\?)", body.lstrip("/")), ""
+        for part in parts:
+            out += {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part))
+        pattern = ("^" if rooted else "(^|/)") + out + ("/" if folder else "(/|$)")
+        verdict = F.when(F.rlike(path, F.lit(pattern)), F.lit(not back)).otherwise(verdict)
+    return verdict
+
+
 def with_folders(listed: DataFrame) -> DataFrame:
     """(path, size, is_dir): the files and every folder above them."""
     parts = F.split("path", "/")

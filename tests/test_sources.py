@@ -153,3 +153,33 @@ def test_save_points(spark):
     df = spark.createDataFrame([("k", s) for s in seconds], "key string, s long").selectExpr("key", "timestamp_seconds(s) ts")
     got = rows(save_points(df).selectExpr("unix_seconds(save_ts) s", "n_changes"))
     assert sorted(got) == [(420, 3), (2300, 1), (4600, 6), (5200, 6), (5700, 3)]
+
+
+@pytest.mark.parametrize(
+    ("rules", "left"),
+    [(["*.cs"], ["b/c.ts", "build/x.ts"]), (["/a.cs"], ["b/a.cs", "b/c.ts", "build/x.ts"]), (["build/"], ["a.cs", "b/a.cs", "b/c.ts"]), (["*", "!b/*.ts"], ["b/c.ts"]), (["b/**"], ["a.cs", "build/x.ts"]), (["**/a.cs", "# x", ""], ["b/c.ts", "build/x.ts"]), (["b?ild"], ["a.cs", "b/a.cs", "b/c.ts"])],
+)
+def test_ignore_rules(spark, rules, left):
+    df = spark.createDataFrame([(p,) for p in ("a.cs", "b/a.cs", "b/c.ts", "build/x.ts")], "path string")
+    assert rows_of(df.where(~store.ignored(df.path, rules))) == left
+
+
+def rows_of(df):
+    return sorted(r[0] for r in df.collect())
+
+
+def test_dense_numbers(spark):
+    from strataquery.plans.skew import numbered
+
+    df = spark.range(1000).selectExpr("cast(pmod(id * 7919, 1009) as int) x")
+    got = numbered(df.repartition(5), ["x"], "n").orderBy("x").collect()
+    assert [r.n for r in got] == list(range(1000)) and numbered(df.where("false"), ["x"], "n").collect() == []
+
+
+def test_functions_in_sql(spark):
+    from strataquery.functions.registry import register
+
+    assert "jaro_winkler" in register(spark)
+    spark.createDataFrame([("class A { public void F() { } }",), (None,)], "t string").createOrReplaceTempView("texts")
+    assert [tuple(r) for r in spark.sql("SELECT s.kind, s.name, s.parent FROM texts, LATERAL code_symbols(texts.t, 'cs') s ORDER BY 1").collect()] == [("class", "A", None), ("method", "F", "A")]
+    assert spark.sql("SELECT sql_objects('CREATE TABLE [dbo].[T] (a int)') x").first().x == '[["table", "dbo", "T"]]'
