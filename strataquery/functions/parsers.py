@@ -31,6 +31,7 @@ _SQL_KINDS = {"PROC": "storedProcedure", "PROCEDURE": "storedProcedure", "FUNCTI
 _ANCHORS = re.compile(rf"\b(?P<word>EXEC(?:UTE)?|FROM|JOIN|INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+(?P<name>{_IDENTIFIER})", re.I)
 _COLUMN = re.compile(rf"^\s*(?P<name>\[(?:[^\]]|\]\])+\]|\"[^\"]+\"|[A-Za-z_]\w*)\s+(?P<type>\[?[A-Za-z]\w*\]?)", re.I)
 _NO_COLUMN = {"constraint", "primary", "foreign", "unique", "check", "index", "key", "period"}
+_BATCH_END = re.compile(r"^[ \t]*GO(?:[ \t]+\d+)?[ \t]*;?[ \t\r]*$", re.I | re.M)
 _GO = re.compile(r"^\s*GO(?:\s+\d+)?\s*;?\s*$", re.I)
 
 
@@ -94,10 +95,11 @@ def sql_calls(text: str) -> list[tuple]:
     """(kind, schema, name, line), each target once per batch; temporary and system objects are left out."""
     out, masked = [], masked_sql(text)
     line_of = _line_finder(masked)
+    ends = [(m.start(), m.end()) for m in _BATCH_END.finditer(masked)] + [(len(masked), len(masked))]
     start = 0
-    for batch in re.split(r"(?im)^\s*GO(?:\s+\d+)?\s*;?\s*$", masked):
+    for stop, after in ends:
         seen = set()
-        for m in _ANCHORS.finditer(batch):
+        for m in _ANCHORS.finditer(masked[start:stop]):
             names = _parts(m["name"])
             name, schema = names[-1], names[-2] if len(names) > 1 else None
             if name[0] in "#@" or name.lower() in ("inserted", "deleted", "set", "select") or (schema or "").lower() in ("sys", "information_schema"):
@@ -107,8 +109,7 @@ def sql_calls(text: str) -> list[tuple]:
             if key not in seen:
                 seen.add(key)
                 out.append((kind, schema, name, line_of(start + m.start())))
-        start = masked.find("\n", start + len(batch)) if start + len(batch) < len(masked) else len(masked)
-        start = max(start, 0)
+        start = after
     return out
 
 

@@ -456,6 +456,13 @@ SQL = {
         WHERE abs(length(name) - length(asked)) <= 2 AND levenshtein(asked, name) <= 2""",
     "stream_delta_index": f"{_OCC} SELECT count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM occ WHERE file_id IS NOT NULL GROUP BY file_id",
     "sql_stats": f"{_DOCS} SELECT file_id, len(list_filter(parts, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '--')))::INT AS cyclomatic FROM cut JOIN docs USING (file_id) WHERE {_EXT} = 'sql'",
+    "sql_calls": f"""{_SQLDOCS}, c AS (SELECT file_id, line_no, regexp_replace(regexp_replace(line, '--.*$', ''), '''[^'']*''', '') AS line, sum(regexp_matches(line, '(?i)^\\s*GO(?:\\s+\\d+)?\\s*;?\\s*$')::INT) OVER (PARTITION BY file_id ORDER BY line_no) AS batch FROM s),
+        a AS (SELECT file_id, batch, line_no, unnest(regexp_extract_all(line, '(?i)\\b(?:EXEC(?:UTE)?|FROM|JOIN|INSERT\\s+INTO|UPDATE|DELETE\\s+FROM|MERGE\\s+INTO)\\s+(?:\\[\\w+\\]|[\\w@#$]+)(?:\\s*\\.\\s*(?:\\[\\w+\\]|[\\w@#$]+))*')) AS m FROM c),
+        b AS (SELECT file_id, batch, line_no, CASE WHEN regexp_matches(m, '(?i)^EXEC') THEN 'sqlExecute' ELSE 'sqlRelation' END AS kind, list_filter(string_split(regexp_replace(regexp_replace(m, '(?i)^(?:EXEC(?:UTE)?|FROM|JOIN|INSERT\\s+INTO|UPDATE|DELETE\\s+FROM|MERGE\\s+INTO)\\s+', ''), '[\\[\\]\\s]', '', 'g'), '.'), lambda x: x <> '') AS parts FROM a),
+        n AS (SELECT file_id, batch, line_no, kind, parts[-1] AS name, parts[-2] AS schema FROM b)
+        SELECT file_id, kind, arg_min(schema, line_no) AS schema, arg_min(name, line_no) AS name, min(line_no)::INT AS line FROM n WHERE NOT regexp_matches(name, '^[#@]') AND lower(name) NOT IN ('inserted', 'deleted', 'set', 'select') AND coalesce(lower(schema), '') NOT IN ('sys', 'information_schema')
+        GROUP BY file_id, batch, kind, lower(coalesce(schema, '')), lower(name)""",
+    "cs_methods": f"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '//[^\\n]*', '', 'g'), '"[^"\\n]*"', '', 'g') AS t FROM documents WHERE text IS NOT NULL AND {_EXT} = 'cs') SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '\\bclass\\s+(\\w+)', 1)) AS name FROM d) GROUP BY name""",
     "sql_columns": f"""{_SQLDOCS}, c AS (SELECT file_id, line_no, trim(regexp_replace(line, '--.*$', '')) AS line FROM s), g AS (SELECT *, CASE WHEN regexp_matches(line, '^CREATE ') THEN regexp_extract(line, '^CREATE\\s+TABLE\\s+\\[\\w+\\]\\.\\[(\\w+)\\]', 1) WHEN line LIKE ')%' OR line = 'GO' THEN '' END AS start FROM c),
         w AS (SELECT *, last_value(start IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no) AS schema FROM g) SELECT schema, count(*) AS n_columns FROM w WHERE schema <> '' AND start IS NULL AND regexp_matches(line, '^\\[\\w+\\]\\s+[A-Z]') GROUP BY ALL""",
     "custom_elements": f"""WITH t AS (SELECT doc_id AS file_id, regexp_extract(p, 'selector:\\s*''([^'']+)''', 1) AS selector, regexp_extract(p, 'template:\\s*`([^`]*)`', 1) AS template

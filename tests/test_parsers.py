@@ -95,3 +95,9 @@ def test_declared_types_and_extensions():
     assert {k: got.get(k) for k in "abdezf"} == {"a": "IStore", "b": "Foo", "d": "Bar", "e": "Baz", "z": "Qux", "f": "Cast"}
     assert P.declared_types("f(a: Foo) { const b = new Bar(); }", "ts") == {"a": "Foo", "b": "Bar"}
     assert P.extension_methods("public static class X {\n public static int Len(this Str s) => 1;\n public static int No(Str s) => 1;\n}") == [("Len", "X", "Str", 2)]
+
+
+def test_lines_of_calls_in_later_batches():
+    text = "EXEC a.b;\n\nGO\n\n\nEXEC a.c;\r\nGO\r\nSELECT 1 FROM [Index];\n go 2 ;\n\nEXEC a.b"
+    assert [(n, line) for _, _, n, line in P.sql_calls(text)] == [("b", 1), ("c", 6), ("Index", 8), ("b", 11)]
+    assert [x[1] for x in P.sql_symbols("CREATE TABLE t ([Index] int, key (a), [Key] int, b int)") if x[0] == "column"] == ["Index", "Key", "b"]
