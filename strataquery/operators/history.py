@@ -129,6 +129,35 @@ def ahead_behind(edges: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFr
     return ahead.withColumn("behind", behind.scalar())
 
 
+#: Remote branches that a branch is compared with, in this order (fixed values).
+BASES = ("main", "master")
+
+
+def branch_report(edges: DataFrame, heads: DataFrame, remotes: DataFrame, fetched: Column) -> DataFrame:
+    """(branch, base, ahead, behind, related, fetch): branches (branch, node) against the first of BASES they share a commit with.
+
+    edges lead from child to parent; remotes has (name, node); fetched is the age of the last fetch in seconds.
+    Without a shared commit base, ahead and behind are null; related then tells whether there was nothing to compare with.
+    """
+    from strataquery.operators.graph import reach
+
+    known = remotes.where(F.col("name").isin(*BASES))
+    roots = heads.select(F.concat(F.lit("b:"), "branch").alias("root"), "node").union(known.select(F.concat(F.lit("r:"), "name"), "node"))
+    seen = stored(reach(edges, roots, depth=None).select("root", "node"), "ancestors")
+    own = seen.where("root like 'b:%'").select(F.substr("root", F.lit(3)).alias("branch"), "node")
+    theirs = seen.where("root like 'r:%'").select(F.substr("root", F.lit(3)).alias("name"), "node")
+    shared = own.join(theirs, "node").groupBy("branch", "name").agg(F.count("*").alias("n_shared"))
+    rank = F.array_position(F.array(*map(F.lit, BASES)), F.col("name"))
+    base = shared.groupBy("branch").agg(F.min_by(F.struct("name", "n_shared"), rank).alias("base"))
+    sizes = seen.groupBy("root").agg(F.count("*").alias("n"))
+    mine = sizes.where("root like 'b:%'").select(F.substr("root", F.lit(3)).alias("branch"), F.col("n").alias("n_own"))
+    other = sizes.where("root like 'r:%'").select(F.substr("root", F.lit(3)).alias("name"), F.col("n").alias("n_their"))
+    met = heads.select("branch").join(mine, "branch").join(base, "branch", "left").withColumn("name", F.col("base.name")).join(other, "name", "left")
+    n = F.col("base.n_shared")
+    related = F.col("name").isNotNull() | (F.lit(known.isEmpty()))
+    return met.select("branch", F.col("name").alias("base"), (F.col("n_own") - n).alias("ahead"), (F.col("n_their") - n).alias("behind"), related.alias("related"), fetch_age(fetched).alias("fetch"))
+
+
 def fetch_age(seconds: Column) -> Column:
     """How stale the last fetch is."""
     return F.when(seconds < 3600, "none").when(seconds < 86400, "hours").when(seconds < 7 * 86400, "days").otherwise("stale")

@@ -135,6 +135,17 @@ def branch_status(spark, folder):
     return H.ahead_behind(edges, one(5), one(8))
 
 
+_PARENTS = [(5, 4), (4, 2), (7, 6), (6, 3), (3, 2), (2, 1), (8, 7), (8, 4), (20, 19), (31, 30)]
+
+
+def branch_report(spark, folder):
+    """Three branches of a small graph against its remote ones: one is ahead and behind, one is related to the second choice only, one to none."""
+    edges = spark.createDataFrame(_PARENTS, "src int, dst int")
+    heads = spark.createDataFrame([("feature", 5), ("old", 20), ("lost", 31)], "branch string, node int")
+    remotes = spark.createDataFrame([("main", 8), ("master", 19), ("other", 31)], "name string, node int")
+    return H.branch_report(edges, heads, remotes, F.lit(90_000))
+
+
 # ---- snapshots and quality ----------------------------------------------------------------------
 
 
@@ -369,7 +380,7 @@ def table_files(spark, folder):
 
 
 _NAMES = """author_summary_top log_read blame_lines blame_summary cache_valid reconcile_times delta_check stale_runs index_sidecar dataset_parts save_points json_fields spelling_distance replace_checked
-author_summary file_activity file_history first_commit deleted_files commit_log commits_per_month author_pool branch_status reconcile_drift ndcg_mrr mean_quality
+author_summary file_activity file_history first_commit deleted_files commit_log commits_per_month author_pool branch_status branch_report reconcile_drift ndcg_mrr mean_quality
 edit_lines replace_nth regex_replace insert_anchor unified_diff nearest_match sql_ddl_symbols sql_columns sql_calls sql_stats xml_elements xml_search custom_elements code_symbols
 code_calls cs_methods stream_windows stream_sessions stream_delta_index table_files""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
@@ -411,6 +422,11 @@ SQL = {
     "author_pool": "SELECT coalesce(name, '') AS name, coalesce(email, '') AS email, count(*) AS n_rows, md5(concat(coalesce(name, ''), '|', coalesce(email, ''))) AS pool_id FROM authors GROUP BY ALL",
     "branch_status": """WITH RECURSIVE e AS (SELECT * FROM (VALUES (5, 4), (4, 2), (7, 6), (6, 3), (3, 2), (2, 1), (8, 7), (8, 4)) v(src, dst)), w AS (SELECT h AS head, h AS node FROM (VALUES (5), (8)) v(h) UNION SELECT head, dst FROM w JOIN e ON src = node)
         SELECT count(*) FILTER (head = 5 AND node NOT IN (SELECT node FROM w WHERE head = 8)) AS ahead, count(*) FILTER (head = 8 AND node NOT IN (SELECT node FROM w WHERE head = 5)) AS behind FROM w""",
+    "branch_report": f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {', '.join(map(str, _PARENTS))}) v(src, dst)), h AS (SELECT * FROM (VALUES ('feature', 5), ('old', 20), ('lost', 31)) v(branch, node)), r AS (SELECT * FROM (VALUES ('main', 8, 1), ('master', 19, 2)) v(name, node, place)),
+        o AS (SELECT branch, node FROM h UNION SELECT branch, dst FROM o JOIN e ON src = node), t AS (SELECT name, place, node FROM r UNION SELECT name, place, dst FROM t JOIN e ON src = node),
+        b AS (SELECT branch, arg_min(name, place) AS base FROM o JOIN t USING (node) GROUP BY branch)
+        SELECT branch, base, CASE WHEN base IS NOT NULL THEN (SELECT count(*) FROM o WHERE o.branch = h.branch AND node NOT IN (SELECT node FROM t WHERE t.name = base)) END AS ahead,
+        CASE WHEN base IS NOT NULL THEN (SELECT count(*) FROM t WHERE t.name = base AND node NOT IN (SELECT node FROM o WHERE o.branch = h.branch)) END AS behind, base IS NOT NULL AS related, 'days' AS fetch FROM h LEFT JOIN b USING (branch)""",
     "reconcile_drift": f"""WITH s AS ({_STATE}), a AS (SELECT path, digest AS was FROM s WHERE run_id = 101), b AS (SELECT path, digest AS now FROM s WHERE run_id = 110)
         SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'modified' END AS status FROM a FULL JOIN b USING (path) WHERE was IS DISTINCT FROM now""",
     "ndcg_mrr": f"{_QUALITY} SELECT * FROM q",

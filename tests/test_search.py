@@ -101,3 +101,38 @@ def test_context_merges_neighbours(spark, files):
     lines = I.file_lines(text)
     hits = lines.where("line in ('3', '6', '15')").select("file_id", "line_no")
     assert rows(S.context(hits, lines, 2, 1), "start_line", "n_lines", "n_matches") == [(1, 7, 2), (13, 4, 1)]
+
+
+def test_tokens_are_pushed_to_the_scan(spark, data):
+    from strataquery.plans.content import _prepared
+
+    index = _prepared(spark, data)
+    for terms, pushed in ((["cache"], "EqualTo(token,cache)"), (["cache", "tile"], "In(token, [cache,tile])")):
+        plan = S.scored(index, S.exact(index.postings, S.term_table(spark, terms)))._jdf.queryExecution().toString()
+        assert pushed in plan and "ReadSchema: struct<token:string,file_id:bigint,tf:bigint,df:bigint,token_count:bigint>" in plan
+
+
+def test_requests_are_planned():
+    assert S.split_terms(["a", "b c", "d-e"]) == (["a"], ["b c", "d-e"])
+    with pytest.raises(ValueError, match="one kind"):
+        S.split_terms(["a", "b c"], every=True)
+    with pytest.raises(ValueError, match="scope"):
+        S.inverted(None, None, scoped=False)
+    with pytest.raises(ValueError, match="not counted"):
+        S.inverted(None, None, scoped=True, count_only=True)
+    assert S.stem_bonus(["a", "b"]) is None and S.stem_bonus(["a"], "substring") is None
+
+
+def test_candidates_hold_all_matches(spark, files):
+    for patterns, every in ((["cache.*reader"], False), (["writer", "tile$"], False), (["cache", "\\w+"], False), (["cache", "\\w+"], True), (["reader", "writer"], True)):
+        left = {r.file_id for r in S.candidates(files.where("text is not null"), patterns, every).collect()}
+        hits = S.per_file(S.regex_lines(files, patterns), "pattern_idx", len(patterns) if every else None)
+        assert {r.file_id for r in hits.collect()} <= left
+
+
+def test_results_are_shaped_to_a_budget(spark):
+    rows_ = [(i, f"p{i}", list(range(20)), ["tok", "other"]) for i in range(1, 6)]
+    df = spark.createDataFrame(rows_, "rank long, path string, lines array<int>, tokens array<string>")
+    for budget, lines, tokens, n in ((10_000, 20, 2, 5), (600, 10, 2, 5), (250, 3, 2, 5), (130, 1, 2, 5), (90, 1, 1, 5), (40, 1, 1, 2), (5, None, None, 0)):
+        got = S.shaped(df, budget).collect()
+        assert len(got) == n and all((r.n_lines, r.n_tokens) == (lines, tokens) and r.bytes <= budget for r in got)

@@ -5,6 +5,8 @@ from conftest import rows, same_as_sql
 
 from strataquery import catalog
 
+#: Queries that find nothing in the smallest tables.
+EMPTY = ("extension_methods", "xml_search")
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
@@ -22,4 +24,4 @@ def test_same_as_sql(spark, data, duck, name):
 def test_runs(spark, data, name):
     df = QUERIES[name](spark, data)
     assert len(df.columns) == len(set(df.columns))
-    rows(df)
+    assert bool(rows(df)) == (name not in EMPTY)
