@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import lines, tokens, trigrams
+from strataquery.plans.skew import maybe_broadcast
+from strataquery.session import stored
 from strataquery.sources.store import kept
 
 
@@ -115,7 +117,7 @@ def narrowed(index: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of index with a token of found (term_idx, token), once per term; few tokens are pushed down to the scan by name."""
     few = found.limit(NAMED_TOKENS + 1).collect()
     if len(few) > NAMED_TOKENS:
-        return index.join(found, "token")
+        return index.join(maybe_broadcast(stored(found, "found")), "token")
     tokens_ = sorted({r.token for r in few})
     picked = index.where(F.col("token").isin(tokens_))
     small = found.sparkSession.createDataFrame([(r.term_idx, r.token) for r in few], "term_idx int, token string")

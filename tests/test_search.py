@@ -136,3 +136,10 @@ def test_results_are_shaped_to_a_budget(spark):
     for budget, lines, tokens, n in ((10_000, 20, 2, 5), (600, 10, 2, 5), (250, 3, 2, 5), (130, 1, 2, 5), (90, 1, 1, 5), (40, 1, 1, 2), (5, None, None, 0)):
         got = S.shaped(df, budget).collect()
         assert len(got) == n and all((r.n_lines, r.n_tokens) == (lines, tokens) and r.bytes <= budget for r in got)
+
+
+def test_many_tokens_are_joined(spark, files, index, monkeypatch):
+    found = S.containing(I.vocabulary(index), S.term_table(spark, ["e"]))
+    few = rows(I.narrowed(index, found), "file_id", "token")
+    monkeypatch.setattr(I, "NAMED_TOKENS", 1)
+    assert rows(I.narrowed(index, found), "file_id", "token") == few != []
