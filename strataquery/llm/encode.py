@@ -123,12 +123,21 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids per text, without marks."""
-        hard = [i for i, t in enumerate(texts) if _BLANKS.search(t)]
-        out = [None if i in hard else np.array(self.ranked.encode_ordinary(t), np.int32) for i, t in enumerate(texts)]
+        out: list[np.ndarray | None] = [None if _BLANKS.search(t) else self._fast(t) for t in texts]
+        hard = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(hard, self.encode([texts[i] for i in hard]) if hard else [], strict=True):
             out[i] = ids & (START - 1)
         return out
 
+    def _fast(self, text: str) -> np.ndarray | None:
+        """None if the faster library's search gives up on a text."""
+        try:
+            return np.array(self.ranked.encode_ordinary(text), np.int32)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+            return None
+
     def _bytes(self, tokens: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, (tokens & (START - 1)).tolist()))
 

@@ -36,6 +36,12 @@ def test_long_runs_of_one_letter(encoder):
     assert [x.tolist() for x in encoder.whole(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_texts_that_the_faster_search_gives_up_on(encoder, monkeypatch):
+    monkeypatch.setattr(C, "_BLANKS", __import__("re").compile("(?!)"))
+    texts = ["a b", " " * 1_000_000 + "x", "", "c"]
+    assert [x.tolist() for x in encoder.whole(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_pieces_without_white_space(encoder):
     text = "x" * 60_000 + "y z"
     ends = C.cuts(text)
