@@ -29,7 +29,7 @@ _WORD = re.compile(r"[^\W_]+")
 #: A tag with its attributes, of any length. What stands in `<>` right behind a word is a tag only if its name is one of HTML's (fixed values).
 _ATTRIBUTES = r"""(?:\s+[\w:.\-@#*()\[\]]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>"""
 _INLINE = r"(?:a|abbr|b|big|br|cite|code|del|div|em|font|h[1-6]|hr|i|img|ins|kbd|li|mark|ol|p|pre|q|s|samp|small|span|strike|strong|sub|sup|table|td|th|tr|tt|u|ul|var|wbr)"
-_TAG = re.compile(rf"</[A-Za-z][\w:.\-]*\s*>|(?<!\w)<[A-Za-z][\w:.\-]*{_ATTRIBUTES}|<{_INLINE}{_ATTRIBUTES}", re.I)
+_TAG = re.compile(rf"<(?:/[A-Za-z][\w:.\-]*\s*>|(?<!\w<)[A-Za-z][\w:.\-]*{_ATTRIBUTES}|{_INLINE}{_ATTRIBUTES})", re.I)
 _BASE = 0x100000001B3
 
 
