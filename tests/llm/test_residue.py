@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -128,3 +129,58 @@ def test_more_documents_change_nothing(spark):
     around = [(1000 + i, t) for i, t in enumerate("\n".join(line.rsplit(" ", 1)[0] + f" word{j}" for line in (t or "").splitlines()) for _, t in docs for j in range(3))]
     both = spark.createDataFrame(docs + around, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in R.residue(both).where("doc_id < 1000").collect()} == alone
+
+
+def lines_like_messages(seed):
+    """Masked lines around those of the tests, some tokens changed, by leaves."""
+    rng = random.Random(seed)
+    texts = [line for t in [*CASES, *LONG, *UNSEEN, *UNSEEN_NONE, *filter(None, NONE)] for line in t.splitlines() if 4 < len(line.split()) < 40]
+    leaves = {}
+    for line in texts:
+        tokens = R.masked(line)
+        for _ in range(8):
+            changed = [rng.choice(["page", "not", "javascript", "javascript.", "enabled.", "to", "￿", "<status>", "x"]) if i >= R.DEPTH and rng.random() < 0.3 else t for i, t in enumerate(tokens)]
+            leaves.setdefault(R.leaf(changed), set()).add(tuple(changed))
+    return [sorted(lines) for lines in leaves.values()]
+
+
+@pytest.mark.parametrize("seed, groups, held", [(1, 64, 100_000), (2, 1, 100_000), (3, 64, 3)])
+def test_a_template_gives_its_lines_the_verdict_they_have_alone(monkeypatch, seed, groups, held):
+    monkeypatch.setattr(R, "HELD_GROUPS", groups)
+    monkeypatch.setattr(R, "HELD_LINES", held)
+    merged = 0
+    for lines in lines_like_messages(seed):
+        told = [(line, kind, len(members)) for _, kind, members in R.mined(lines) for line in members]
+        assert sorted(line for line, _, _ in told) == lines
+        assert {line: kind for line, kind, _ in told} == {line: R._kind(" ".join(line)) for line in lines}
+        merged += sum(n > 1 and kind is not None for _, kind, n in told)
+    assert merged or held < 100_000
+
+
+def test_a_template_is_classified_once(monkeypatch):
+    calls, settled = [], R.settled
+    monkeypatch.setattr(R, "settled", lambda template: calls.append(template) or settled(template))
+    lines = [tuple(f"you need to enable javascript to run {a}{b}.".split()) for a in "abcdefgh" for b in "klmnopqr"]
+    ((template, kind, members),) = R.mined(lines)
+    assert (template[-1], kind, members, len(calls)) == (None, "script", lines, 1)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_tree_merges_lines_of_all_tasks(spark, parts):
+    lines = [f"You need to enable JavaScript to run site{c}." for c in "abcde"] + ["You need to enable users to run this.", "You do not have permission to view this page.", "You do not have permission to see this file.", "You do not have time to read this text."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").repartition(parts)
+    expected = [("you do not have permission to see this file.", "error", 1), ("you do not have permission to view this page.", "error", 1), ("you need to enable javascript to run <*>", "script", 5)]
+    assert rows(R.merged_templates(df), "template", "kind", "n_lines") == expected
+    assert rows(R.residue(df), "doc_id") == [(i,) for i in (0, 1, 2, 3, 4, 6, 7)]
+
+
+@pytest.mark.parametrize("limit", [R.BROADCAST_BYTES, -1])
+def test_verdicts_come_back_to_all_documents(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "BROADCAST_BYTES", limit)
+    texts = [t for t in CASES + NONE + LONG + LONG_NONE + UNSEEN if t]
+    docs = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(texts)] + [(0, t) for t in LONG]
+    expected = {}
+    for doc, text in docs:
+        expected.setdefault(doc, set()).update(R.kinds_of(text))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: set(r.kinds) for r in R.residue(df).collect()} == {d: k for d, k in expected.items() if k}
